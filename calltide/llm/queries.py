@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import decontaminate, language, packing, pii, quality
+from calltide.llm import decontaminate, language, line_dedup, packing, pii, quality
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_dedup.judged_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform(F.sort_array("removed"), lambda i: i.cast("string")), ",").alias("removed"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
@@ -46,12 +51,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM split WHERE ls IS NOT NULL),
+        words AS (SELECT doc_id, line, regexp_extract_all(lower(body), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM lines),
+        shingles AS (SELECT DISTINCT doc_id, line, array_to_string(ws[i:i + 4], ' ') AS s
+                     FROM (SELECT doc_id, line, ws, unnest(range(1, len(ws) - 3)) AS i FROM words WHERE len(ws) >= 5)),
+        sizes AS (SELECT doc_id, line, count(*) AS n FROM shingles GROUP BY doc_id, line),
+        common AS (SELECT x.doc_id, x.line, y.doc_id AS d, y.line AS l, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s
+                   WHERE (y.doc_id, y.line) < (x.doc_id, x.line) GROUP BY ALL),
+        removed AS (SELECT DISTINCT common.doc_id, common.line FROM common
+                    JOIN sizes a ON a.doc_id = common.doc_id AND a.line = common.line JOIN sizes b ON b.doc_id = d AND b.line = l
+                    WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        listed AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS list FROM removed GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(list, '') AS removed
+        FROM split LEFT JOIN listed USING (doc_id)
+    """,
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calltide.llm import decontaminate, packing, quality
+from calltide.llm import decontaminate, line_dedup, packing, quality
 from calltide.llm.common import crc_mod, materialize, table
 from calltide.llm.queries import TOKENIZER
 
@@ -21,6 +21,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("predicted = 1").selectExpr(*(f"__{k} AS `{c}`" for k, c in enumerate(columns)))
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines without those that an earlier line resembles; documents that consisted of such lines go."""
+    return line_dedup.clean(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality classifier", quality_classifier),
+    ("line dedup", line_deduplication),
     ("benchmark decontamination", benchmark_decontamination),
     ("best-fit packing", best_fit_packing),
 ]
