@@ -61,7 +61,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM split WHERE ls IS NOT NULL),
-        words AS (SELECT doc_id, line, regexp_extract_all(lower(body), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM lines),
+        words AS (SELECT doc_id, line, regexp_extract_all(lower(body), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM lines),
         shingles AS (SELECT DISTINCT doc_id, line, array_to_string(ws[i:i + 4], ' ') AS s
                      FROM (SELECT doc_id, line, ws, unnest(range(1, len(ws) - 3)) AS i FROM words WHERE len(ws) >= 5)),
         sizes AS (SELECT doc_id, line, count(*) AS n FROM shingles GROUP BY doc_id, line),
