@@ -8,12 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import decontaminate, language, line_dedup, packing, pii, quality
+from calltide.llm import decontaminate, language, line_dedup, packing, pii, quality, url_filters
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: The dated list of op1, an example of a feed: (target, verdict, listed at, in seconds since 1970).
+LIST_ENTRIES = [
+    ("example.net", "block", 1704844800), ("example.net", "remove", 1711929600), ("example.net", "block", 1719792000),
+    ("tionsh.example.net", "allow", 1706745600), ("tionsh.example.net", "block", 1715000000), ("tionsh.example.net", "allow", 1725000000),
+    ("example.org/de", "block", 1709251200), ("example.org/de/2", "allow", 1712000000), ("example.org", "allow", 1704067200),
+    ("blog.tionble.example.com", "block", 1707000000), ("blog.tionble.example.com/en", "allow", 1707000000), ("m.tiontion.example.com", "block", 1720000000),
+    ("m.tiontion.example.com", "allow", 1720000000), ("ththhe.example.com", "block", 1700000000), ("com", "allow", 1700000000), ("com/es", "block", 1716000000),
+]
+#: `pages` has no fetch time: one within 2024 follows from page_id.
+FETCHED_AT = "1704067200 + page_id * 9973 % 31536000"
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED_AT).alias("fetched_at"))
+    entries = spark.sql(f"SELECT target, verdict, CAST(listed_at AS BIGINT) AS listed_at FROM VALUES {', '.join(map(str, LIST_ENTRIES))} AS e(target, verdict, listed_at)")
+    return url_filters.evaluate(pages, entries).select("page_id", "url", "host", "fetched_at", "verdict", "target", "listed_at", "keep")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -47,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op6_decontamination": op6_decontamination,
@@ -58,6 +77,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": f"""
+        WITH entries(target, verdict, listed_at) AS (VALUES {", ".join(map(str, LIST_ENTRIES))}),
+        one AS (SELECT regexp_extract(target, '^([^/]*)', 1) AS domain, regexp_extract(target, '^[^/]*(/.*)$', 1) AS path, listed_at,
+                       arg_min(verdict, CASE verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 2 ELSE 3 END) AS verdict FROM entries GROUP BY ALL),
+        valid AS (SELECT *, lead(listed_at) OVER (PARTITION BY domain, path ORDER BY listed_at) AS valid_to FROM one),
+        p AS (SELECT page_id, url, CAST({FETCHED_AT} AS BIGINT) AS fetched_at, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
+                     regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
+        hit AS (SELECT p.page_id, v.verdict, v.domain || v.path AS target, v.listed_at,
+                       row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(v.domain, '.')) DESC, len(v.path) DESC) AS k
+                FROM p JOIN valid v ON (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND starts_with(CASE p.path WHEN '' THEN '/' ELSE p.path END, v.path)
+                  AND p.fetched_at >= v.listed_at AND (v.valid_to IS NULL OR p.fetched_at < v.valid_to) WHERE v.verdict <> 'remove')
+        SELECT p.page_id, url, host, fetched_at, verdict, target, CAST(listed_at AS BIGINT) AS listed_at, coalesce(verdict <> 'block', TRUE) AS keep
+        FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1
+    """,
     "op9_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM split WHERE ls IS NOT NULL),
