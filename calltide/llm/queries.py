@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import decontaminate, language, line_dedup, packing, pii, quality, url_filters
+from calltide.llm import decontaminate, jaccard_join, language, line_dedup, packing, pii, quality, url_filters
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_dedup.judged_lines(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform(F.sort_array("removed"), lambda i: i.cast("string")), ",").alias("removed"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -91,6 +96,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, url, host, fetched_at, verdict, target, CAST(listed_at AS BIGINT) AS listed_at, coalesce(verdict <> 'block', TRUE) AS keep
         FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1
     """,
+    "op8_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+                     FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT doc_id, least(doc_id, coalesce(least.b, doc_id)) AS class_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links
+        FROM d LEFT JOIN least ON least.a = doc_id LEFT JOIN degree ON degree.a = doc_id
+    """,
     "op9_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM split WHERE ls IS NOT NULL),
