@@ -66,10 +66,10 @@ def shingle_sets(texts: list[str], words_each: int = SHINGLE_WORDS) -> list[np.n
             if b - a >= words_each:
                 out.append(np.unique(rolled[a : b - words_each + 1]))
             elif b > a:
-                short = U64(b - a)
-                for w in words[a:b]:
-                    short = mix(np.array([short * U64(0x9E3779B97F4A7C15) + w], U64))[0]
-                out.append(np.array([short], U64))
+                short = np.array([b - a], U64)
+                for k_ in range(a, b):
+                    short = mix(short * U64(0x9E3779B97F4A7C15) + words[k_ : k_ + 1])
+                out.append(short)
             else:
                 out.append(np.zeros(0, U64))
     return out

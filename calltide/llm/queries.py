@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import decontaminate, jaccard_join, language, line_dedup, packing, pii, quality, url_filters
+from calltide.llm import ann, decontaminate, jaccard_join, language, line_dedup, packing, pii, quality, url_filters
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(pages, entries).select("page_id", "url", "host", "fetched_at", "verdict", "target", "listed_at", "keep")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -70,6 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op6_decontamination": op6_decontamination,
