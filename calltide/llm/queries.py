@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import ann, decontaminate, jaccard_join, language, line_dedup, packing, pii, quality, url_filters
+from calltide.llm import ann, decontaminate, jaccard_join, language, licenses, line_dedup, packing, pii, quality, url_filters
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
 
+#: `documents` has no paths: a source is a tree of directories of 50 files, the first of which is its LICENSE.
+PATH = "concat('repo/', coalesce(source, 'none'), '/p', doc_id div 500, '/m', (doc_id div 50) % 10, '/', if(doc_id % 50 = 0, 'LICENSE', concat('f', doc_id, '.txt')))"
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", F.expr(PATH)))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
