@@ -40,8 +40,11 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def field(name: str, kind: str, v: Column | str = "v") -> Column:
-    """A field of a VARIANT row, null where it is missing or of another type."""
-    return F.try_variant_get(col(v), f"$.{name}", kind).alias(name)
+    """A field of a VARIANT row, null where it is missing or doesn't convert; a boolean must be one in the JSON."""
+    value = F.try_variant_get(col(v), f"$.{name}", kind)
+    if kind == "boolean":
+        value = F.when(F.schema_of_variant(F.try_variant_get(col(v), f"$.{name}", "variant")) == "BOOLEAN", value)
+    return value.alias(name)
 
 
 def number_field(name: str, v: Column | str = "v") -> Column:
