@@ -3,7 +3,8 @@
 A coarse partition and 4-bit codebooks of two dimensions each are fitted on a bounded sample. The loss weighs the part
 of a residual that is parallel to its vector ``ETA`` times as much as the rest, since that part moves large inner
 products. Every vector is encoded; a query builds its tables once, scans the codes of the cells it probes two codes a
-byte, and the best ``RERANK`` of each block are scored again on the original vectors in double precision.
+byte, and the best ``RERANK`` of each block are scored again on the original vectors in double precision, with all others whose
+scanned score lies within ``MARGIN`` deviations of its error: among thousands of nearly equal vectors none is cut off.
 
 Cells are cut into blocks of about ``BLOCK`` vectors and queries into blocks of ``QUERY_BLOCK``, so a cell with a third
 of all vectors is many tasks. Equal vectors in a block are scanned once and give their least ids. How many cells a query
@@ -35,6 +36,8 @@ SWEEPS = 2
 BLOCK = 16_384
 QUERY_BLOCK = 4096
 RERANK = 200
+#: Standard deviations of the scan's error within which further vectors are scored again as well.
+MARGIN = 2.5
 CELL_RECALL = 0.99
 
 
@@ -189,6 +192,14 @@ def _block_result(base: pd.DataFrame, queries: pd.DataFrame, model: Quantiser, k
             take = min(RERANK, len(distinct))
             near = np.argpartition(-approximate, take - 1)[:take]
             score = (distinct[near] * q).sum(axis=1)
+            # all others that could still belong to the best, by the error of the scan seen on the first
+            error = score - approximate[near]
+            floor = np.partition(score, max(0, take - k - 1))[max(0, take - k - 1)] - error.mean() - MARGIN * error.std()
+            open_ = approximate >= floor
+            open_[near] = False
+            more = np.flatnonzero(open_)
+            near = np.concatenate([near, more])
+            score = np.concatenate([score, (distinct[more] * q).sum(axis=1)])
             ranked = np.argsort(-score, kind="stable")
             # enough of the best vectors to fill k places besides the query's own, and all that tie with the last
             size = np.cumsum(begin[near[ranked] + 1] - begin[near[ranked]])
