@@ -1,7 +1,8 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its five-word shingles. Tokens are ordered by rarity (counts over the whole corpus, kept in
-``BUCKETS`` hashed counters, so that the order fits in a literal of fixed size). Two sets with Jaccard similarity of at
+A line's tokens are its five-word shingles, as 32-bit hashes, written once as a table that all later steps read. Tokens
+are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order fits in a
+literal of fixed size). Two sets with Jaccard similarity of at
 least ``PERCENT`` share a token within their prefixes; candidates come from a join on prefix tokens with length and
 positional bounds, and are verified on whole token sets. A line with an earlier match goes.
 
@@ -21,12 +22,17 @@ from calltide.llm.common import SHINGLE_WORDS, drop_table, materialize
 
 BUCKETS = 1 << 16
 PERCENT = 80
-NOT_WORD = "[^0-9a-z\\x{80}-\\x{10FFFF}]+"
 _WORD = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
 #: A line of at least five words.
 JUDGED = f"(?:[{_WORD}]+[^{_WORD}]+){{{SHINGLE_WORDS - 1}}}[{_WORD}]"
-#: Rows of the small side up to which a join broadcasts it: some tens of MB.
-BROADCAST_ROWS = 300_000
+#: What stands between words after lower-casing; listed one by one, since Java looks such a class up in a bit table.
+NOT_WORD = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z") + "]+"
+#: Bits of the bitmap of tokens that several classes share.
+SEEN_BITS = 1 << 24
+#: Set names (longs) up to which a join broadcasts them: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+#: Parity of a set's tokens by their low seven bits, as two longs: no two sets differ in fewer tokens than in bits.
+PARITIES = tuple(f"aggregate(tokens, 0L, (a, t) -> a ^ IF((t & 64) = {half}, shiftleft(1L, t & 63), 0L))" for half in (0, 64))
 #: What names a line: its document's id, the hash of the document's text, and its number.
 POSITION = ["d", "h", "line"]
 
@@ -40,19 +46,20 @@ def _word_hashes(line: Column) -> Column:
 
 
 def _shingles(words: str) -> Column:
-    each = lambda i: F.xxhash64(*(F.get(words, i + F.lit(k)) for k in range(SHINGLE_WORDS)))
-    return F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE_WORDS), each)
+    each = lambda w, i: F.hash(w, *(F.get(words, i + F.lit(k)) for k in range(1, SHINGLE_WORDS)))
+    return F.slice(F.transform(words, each), F.lit(1), F.size(words) - (SHINGLE_WORDS - 1))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, h, line, shingles) of every line of at least five words."""
+def token_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, h, line, k, tokens array<int>): the distinct shingles of every line of at least five words; k names the set."""
     words = _named(docs, doc_id, text).select("d", "h", F.posexplode(F.transform("lines", _word_hashes)).alias("line", "words"))
-    return words.where(F.size("words") >= SHINGLE_WORDS).select("d", "h", "line", _shingles("words").alias("shingles"))
+    sets = words.where(F.size("words") >= SHINGLE_WORDS).select(*POSITION, F.sort_array(F.array_distinct(_shingles("words"))).alias("tokens"))
+    return sets.select(*POSITION, F.xxhash64("tokens").alias("k"), "tokens")
 
 
-def rarity_order(lines: DataFrame) -> Column:
-    """A literal array: the rank of each hashed counter of shingles, rarest first."""
-    counted = lines.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()
+def rarity_order(sets: DataFrame) -> Column:
+    """A literal array: the rank of each hashed counter of tokens, rarest first."""
+    counted = sets.select(F.explode("tokens").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()
     counts = [0] * BUCKETS
     for row in counted:
         counts[row.bucket] = row["count"]
@@ -62,10 +69,10 @@ def rarity_order(lines: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
 
 
-def tokens(shingles: str, ranks: Column) -> Column:
-    """The set of a line in order of rarity: the rank above 47 bits of the shingle's hash."""
-    place = lambda s: F.shiftleft(F.get(ranks, s.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(s.bitwiseAND((1 << 47) - 1))
-    return F.sort_array(F.array_distinct(F.transform(shingles, place)))
+def ordered(tokens: str, ranks: Column) -> Column:
+    """The tokens by rarity, each below the rank of its counter."""
+    place = lambda s: F.shiftleft(F.get(ranks, s.bitwiseAND(BUCKETS - 1)).cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(0xFFFFFFFF))
+    return F.sort_array(F.transform(tokens, place))
 
 
 def _least_common(n: Column, percent: int) -> Column:
@@ -78,63 +85,74 @@ def _could_match(nx: Column, px: Column, ny: Column, py: Column, percent: int) -
     return (ny * 100 >= nx * percent) & (nx * 100 >= ny * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
 
 
+def _few_differ(x: str, y: str, percent: int) -> Column:
+    """A necessary condition on the parities of similar sets."""
+    differ = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(1, len(PARITIES))), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+    return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
+
 def _before(a: str, b: str) -> Column:
     return F.struct(*(f"{a}.{c}" for c in POSITION)) < F.struct(*(f"{b}.{c}" for c in POSITION))
 
 
-def _on_position(a: DataFrame, b: DataFrame, x: str) -> Column:
-    return a[f"{x}.d"].eqNullSafe(b["d"]) & a[f"{x}.h"].eqNullSafe(b["h"]) & (a[f"{x}.line"] == b["line"])
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The classes x of the pairs (x, y) whose sets reach the similarity, written; sets are looked up in the lines."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = lines.select("k", "tokens").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("tokens").alias("tokens"))
+    joined = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("ty")), "y")
+    common = F.size(F.array_intersect("tx", "ty"))
+    found = materialize(joined.where(common * 100 >= (F.size("tx") + F.size("ty") - common) * percent).select(F.col("x").alias("k")).distinct())
+    drop_table(pairs)
+    return found
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The class keys of x in the pairs (x, y) whose sets reach the similarity."""
-    left, right = sets.withColumnRenamed("tokens", "tx"), sets.withColumnRenamed("tokens", "ty")
-    joined = pairs.join(left, _on_position(pairs, left, "x")).select("x", "y", "tx")
-    joined = joined.join(right, _on_position(joined, right, "y")).select("x", "tx", "ty")
-    common = F.size(F.array_intersect("tx", "ty"))
-    return joined.where(common * 100 >= (F.size("tx") + F.size("ty") - common) * percent).select("x.k1", "x.k2").distinct()
+def _seen_twice(classes: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of fixed size with the hashes of the prefix tokens that several classes have."""
+    often = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return often.groupBy(_word("token").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(xxhash64(token) & 63 AS INT)))").alias("bits"))
+
+
+def _word(token: str) -> Column:
+    return F.shiftright(F.xxhash64(token).bitwiseAND(SEEN_BITS - 1), 6)
+
+
+def _bit(token: str) -> Column:
+    return F.xxhash64(token).bitwiseAND(63).cast("int")
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(d, h, kept array<int>): of each document, named by id and text hash, the lines of five words or more that stay."""
-    lines = _lines(docs, doc_id, text)
-    ranks = rarity_order(lines)
-    listed = lines.select(*POSITION, tokens("shingles", ranks).alias("tokens"))
+    lines = materialize(token_sets(docs, doc_id, text))
     n = F.size("tokens")
-    keyed = listed.select(
-        *POSITION, F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit("line"), "tokens").alias("k2"), n.alias("n"), F.slice("tokens", F.lit(1), n - _least_common(n, percent) + 1).alias("prefix")
+    parities = [F.expr(e).alias(f"p{i}") for i, e in enumerate(PARITIES)]
+    keyed = lines.select(*POSITION, "k", *parities, ordered("tokens", rarity_order(lines)).alias("tokens")).select(
+        *POSITION, "k", "p0", "p1", n.alias("n"), F.slice("tokens", F.lit(1), n - _least_common(n, percent) + 1).alias("prefix")
     )
-    classes = keyed.groupBy("k1", "k2").agg(F.min(F.struct(*POSITION)).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.select("k1", "k2", "at.*", "n", "prefix"))
+    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")))
+    classes = materialize(classes.select("k", "at.*", "n", "p0", "p1", "prefix"))
 
-    entries = classes.select("k1", "k2", *POSITION, "n", F.posexplode("prefix").alias("place", "token"))
+    # tokens of one class only, most of them, go before anything is shuffled; the bitmap is at most 4 MB and so broadcast
+    seen = materialize(_seen_twice(classes))
+    entries = classes.select("k", *POSITION, "n", "p0", "p1", F.posexplode("prefix").alias("place", "token")).withColumn("word", _word("token"))
+    entries = entries.join(F.broadcast(seen), "word").where(F.getbit("bits", _bit("token")) == 1).drop("word", "bits")
     entries = entries.withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sharers > 1")
-    own = F.struct("k1", "k2", *POSITION, "n", "place")
+    own = F.struct("k", *POSITION, "n", "p0", "p1", "place")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    by_band = Window.partitionBy("token", "band").orderBy(*POSITION, "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)
+    by_band = Window.partitionBy("token", "band").orderBy(*POSITION, "k").rowsBetween(Window.unboundedPreceding, 0)
     entries = entries.withColumn("band", band).select("token", own.alias("x"), F.first(own).over(by_band).alias("leader"))
     entries = materialize(entries)
 
-    needed = entries.select("x.d", "x.h", "x.line").distinct().groupBy("d", "h").agg(F.collect_list("line").alias("wanted"))
-    needed = materialize(needed)
-    small = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    found = _named(docs, doc_id, text).alias("a").join(small.alias("b"), F.col("a.d").eqNullSafe(F.col("b.d")) & (F.col("a.h") == F.col("b.h")))
-    wanted = found.select("a.d", "a.h", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), _word_hashes(F.get("lines", i)).alias("words")))).alias("w"))
-    sets = wanted.select("d", "h", "w.line", F.col("w.words").alias("words")).select(*POSITION, _shingles("words").alias("shingles"))
-    sets = materialize(sets.select(*POSITION, tokens("shingles", ranks).alias("tokens")).dropDuplicates(POSITION))
-
-    bounds = lambda x, y: _could_match(F.col(f"{x}.n"), F.col(f"{x}.place"), F.col(f"{y}.n"), F.col(f"{y}.place"), percent)
-    name = lambda c: F.struct(*(F.col(f"{c}.{f}").alias(f) for f in ("k1", "k2", *POSITION)))
-    first = entries.where(_before("leader", "x") & bounds("x", "leader")).select(name("x").alias("x"), name("leader").alias("y")).distinct()
-    settled = materialize(_verified(first, sets, percent))
-    open_ = entries.select("token", "x", "x.k1", "x.k2", F.col("leader.k1").alias("l1"), F.col("leader.k2").alias("l2")).join(settled, ["k1", "k2"], "left_anti")
-    others = entries.select("token", F.col("x").alias("y"))
-    met = open_.join(others, "token").where(_before("y", "x") & bounds("x", "y") & ~((F.col("y.k1") == F.col("l1")) & (F.col("y.k2") == F.col("l2"))))
-    later = _verified(met.select(name("x").alias("x"), name("y").alias("y")).distinct(), sets, percent)
-    removed = materialize(settled.unionByName(later))
-    kept = classes.join(removed, ["k1", "k2"], "left_anti").groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    bounds = lambda x, y: _before(y, x) & _could_match(F.col(f"{x}.n"), F.col(f"{x}.place"), F.col(f"{y}.n"), F.col(f"{y}.place"), percent) & _few_differ(x, y, percent)
+    settled = _verified(entries.where(bounds("x", "leader")).select(F.col("x.k").alias("x"), F.col("leader.k").alias("y")).distinct(), lines, percent)
+    open_ = entries.select("token", "x", "x.k", F.col("leader.k").alias("led")).join(settled, "k", "left_anti")
+    met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y") & (F.col("y.k") != F.col("led")))
+    later = _verified(met.select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct(), lines, percent)
+    removed = settled.unionByName(later)
+    kept = classes.join(removed, "k", "left_anti").groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("kept"))
     kept = materialize(kept)
-    for used in (classes, entries, needed, sets, settled, removed):
+    for used in (lines, classes, seen, entries, settled, later):
         drop_table(used)
     return kept
 
