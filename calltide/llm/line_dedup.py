@@ -22,17 +22,16 @@ from calltide.llm.common import SHINGLE_WORDS, drop_table, materialize
 
 BUCKETS = 1 << 16
 PERCENT = 80
-_WORD = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
-#: A line of at least five words.
-JUDGED = f"(?:[{_WORD}]+[^{_WORD}]+){{{SHINGLE_WORDS - 1}}}[{_WORD}]"
 #: What stands between words after lower-casing; listed one by one, since Java looks such a class up in a bit table.
 NOT_WORD = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z") + "]+"
 #: Bits of the bitmap of tokens that several classes share.
 SEEN_BITS = 1 << 24
 #: Set names (longs) up to which a join broadcasts them: some tens of MB.
 BROADCAST_ROWS = 1_000_000
-#: Parity of a set's tokens by their low seven bits, as two longs: no two sets differ in fewer tokens than in bits.
-PARITIES = tuple(f"aggregate(tokens, 0L, (a, t) -> a ^ IF((t & 64) = {half}, shiftleft(1L, t & 63), 0L))" for half in (0, 64))
+#: Documents and lines of the result up to which they are broadcast to the documents: some 60 MB.
+BROADCAST_LINES = 4_000_000
+#: Parity of a set's tokens by their low six bits: no two sets differ in fewer tokens than in bits.
+PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, t & 63))"
 #: What names a line: its document's id, the hash of the document's text, and its number.
 POSITION = ["d", "h", "line"]
 
@@ -85,9 +84,15 @@ def _could_match(nx: Column, px: Column, ny: Column, py: Column, percent: int) -
     return (ny * 100 >= nx * percent) & (nx * 100 >= ny * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
 
 
+def _token(place: Column) -> Column:
+    """The token of an entry of ``ordered``: its low 32 bits."""
+    low = place.bitwiseAND(0xFFFFFFFF)
+    return F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
+
+
 def _few_differ(x: str, y: str, percent: int) -> Column:
     """A necessary condition on the parities of similar sets."""
-    differ = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(1, len(PARITIES))), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+    differ = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
@@ -122,23 +127,22 @@ def _bit(token: str) -> Column:
     return F.xxhash64(token).bitwiseAND(63).cast("int")
 
 
-def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(d, h, kept array<int>): of each document, named by id and text hash, the lines of five words or more that stay."""
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(d, h, removed array<int>) of each document, named by id and text hash, that loses lines: their numbers, rising."""
     lines = materialize(token_sets(docs, doc_id, text))
     n = F.size("tokens")
-    parities = [F.expr(e).alias(f"p{i}") for i, e in enumerate(PARITIES)]
-    keyed = lines.select(*POSITION, "k", *parities, ordered("tokens", rarity_order(lines)).alias("tokens")).select(
-        *POSITION, "k", "p0", "p1", n.alias("n"), F.slice("tokens", F.lit(1), n - _least_common(n, percent) + 1).alias("prefix")
+    keyed = lines.select(*POSITION, "k", F.expr(PARITY).alias("parity"), ordered("tokens", rarity_order(lines)).alias("tokens")).select(
+        *POSITION, "k", "parity", n.alias("n"), F.transform(F.slice("tokens", F.lit(1), n - _least_common(n, percent) + 1), _token).alias("prefix")
     )
-    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")))
-    classes = materialize(classes.select("k", "at.*", "n", "p0", "p1", "prefix"))
+    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+    classes = materialize(classes.select("k", "at.*", "n", "parity", "prefix"))
 
     # tokens of one class only, most of them, go before anything is shuffled; the bitmap is at most 4 MB and so broadcast
     seen = materialize(_seen_twice(classes))
-    entries = classes.select("k", *POSITION, "n", "p0", "p1", F.posexplode("prefix").alias("place", "token")).withColumn("word", _word("token"))
+    entries = classes.select("k", *POSITION, "n", "parity", F.posexplode("prefix").alias("place", "token")).withColumn("word", _word("token"))
     entries = entries.join(F.broadcast(seen), "word").where(F.getbit("bits", _bit("token")) == 1).drop("word", "bits")
     entries = entries.withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sharers > 1")
-    own = F.struct("k", *POSITION, "n", "p0", "p1", "place")
+    own = F.struct("k", *POSITION, "n", "parity", "place")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     by_band = Window.partitionBy("token", "band").orderBy(*POSITION, "k").rowsBetween(Window.unboundedPreceding, 0)
     entries = entries.withColumn("band", band).select("token", own.alias("x"), F.first(own).over(by_band).alias("leader"))
@@ -150,16 +154,32 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y") & (F.col("y.k") != F.col("led")))
     later = _verified(met.select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct(), lines, percent)
     removed = settled.unionByName(later)
-    kept = classes.join(removed, "k", "left_anti").groupBy("d", "h").agg(F.sort_array(F.collect_list("line")).alias("kept"))
-    kept = materialize(kept)
+    stays = classes.join(removed, "k", "left_anti").select(*POSITION, F.col("line").alias("stays"))
+    every = lines.select(*POSITION, F.lit(None).cast("int").alias("stays")).unionByName(stays)
+    gone = every.groupBy("d", "h").agg(F.sort_array(F.array_except(F.collect_set("line"), F.collect_set("stays"))).alias("removed"))
+    gone = materialize(gone.where(F.size("removed") > 0))
     for used in (lines, classes, seen, entries, settled, later):
         drop_table(used)
-    return kept
+    return gone
+
+
+def _with_removed(rows: DataFrame, gone: DataFrame, d: str, h: str) -> DataFrame:
+    """``rows`` with ``removed``, null where a document loses nothing: broadcast up to BROADCAST_LINES, else joined by document."""
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
+    small = F.broadcast(gone) if size.rows + size.lines <= BROADCAST_LINES else gone
+    return rows.join(small, F.col(d).eqNullSafe(gone["d"]) & (F.col(h) == gone["h"]), "left")
+
+
+def _without(parts: Column, removed: Column) -> Column:
+    """The parts between the removed places, in time that is linear in their number."""
+    between = lambda p, at: F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.slice(p, F.get(at, i - 1) + 2, F.get(at, i) - F.get(at, i - 1) - 1)))
+    bounds = lambda p: F.concat(F.array(F.lit(-1)), removed, F.array(F.size(p)))
+    return _let(parts, lambda p: _let(bounds(p), lambda at: between(p, at)))
 
 
-def _stays(line: Column, number: Column) -> Column:
-    """Lines of fewer than five words are never judged."""
-    return ~line.rlike(JUDGED) | F.array_contains(F.coalesce(F.col("kept"), F.array().cast("array<int>")), number)
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def judged_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -168,12 +188,11 @@ def judged_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     A null text has no lines; an empty one has one, which stays. Rows with equal id and text are one document and lose
     the same lines. Order is by doc_id (null first), then text hash, then line.
     """
-    kept = survivors(docs, doc_id, text, percent)
-    numbered = docs.select(F.col(doc_id).alias("__d"), F.xxhash64(text).alias("__h"), F.lower(F.col(text)).alias("__low"))
-    judged = F.filter(F.transform(F.split("__low", "\n"), lambda line, i: F.when(line.rlike(JUDGED), i)), lambda i: i.isNotNull())
-    rows = numbered.select("__d", "__h", F.when(F.col("__low").isNull(), 0).otherwise(F.size(F.split("__low", "\n"))).cast("long").alias("n_lines"), F.coalesce(judged, F.array().cast("array<int>")).alias("judged"))
-    joined = rows.join(kept, F.col("__d").eqNullSafe(kept["d"]) & (F.col("__h") == kept["h"]), "left")
-    return joined.select(F.col("__d").alias("doc_id"), "n_lines", F.array_except("judged", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
+    gone = removals(docs, doc_id, text, percent)
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    rows = docs.select(F.col(doc_id).alias("__d"), F.xxhash64(text).alias("__h"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
+    joined = _with_removed(rows, gone, "__d", "__h")
+    return joined.select(F.col("__d").alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, drop_emptied: bool = True) -> DataFrame:
@@ -181,13 +200,12 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     ``drop_emptied`` drops documents that lost lines and have only blank ones left; null and empty texts stay as they are.
     """
-    kept = survivors(docs, doc_id, text, percent)
+    gone = removals(docs, doc_id, text, percent)
     columns = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)), F.xxhash64(text).alias("__h"))
     id_, body = f"__{columns.index(doc_id)}", f"__{columns.index(text)}"
-    joined = inner.join(kept, F.col(id_).eqNullSafe(kept["d"]) & (F.col("__h") == kept["h"]), "left")
-    left = F.array_join(F.filter(F.split(body, "\n"), _stays), "\n")
-    made = joined.withColumn("__new", left)
+    left = F.array_join(_without(F.split(body, "\n"), F.col("removed")), "\n")
+    made = _with_removed(inner, gone, id_, "__h").withColumn("__new", F.when(F.col("removed").isNull(), F.col(body)).otherwise(left))
     if drop_emptied:
-        made = made.where(F.col(body).isNull() | (F.length("__new") == F.length(body)) | F.col("__new").rlike("\\S"))
+        made = made.where(F.col("removed").isNull() | F.col("__new").rlike("\\S"))
     return made.select(*(F.col("__new" if f"__{k}" == body else f"__{k}").alias(c) for k, c in enumerate(columns)))
