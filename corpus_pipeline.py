@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines without those that an earlier line resembles; documents that consisted of such lines go."""
-    return line_dedup.clean(docs)
+    """Lines without those that an earlier line resembles; documents that consisted of such lines go. Short lines count."""
+    return line_dedup.clean(docs, short_lines=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import corpus_pipeline
+
 from calltide.llm import line_dedup
 
 
@@ -80,3 +82,32 @@ def test_only_native_operations(spark):
     df = spark.createDataFrame(corpus(1, 5), "doc_id long, text string")
     plan = line_dedup.judged_lines(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def brute_with_short(docs: list[tuple]) -> dict[tuple, list[int]]:
+    seen, out = [], {}
+    for doc_id, text in docs:
+        removed = []
+        for k, line in enumerate(text.split("\n")):
+            words = tuple(re.findall("[0-9a-z\x80-\U0010ffff]+", line.lower()))
+            s = shingle_set(line) or frozenset({words} if words else ())
+            if s:
+                if any(100 * len(s & t) >= 80 * len(s | t) for t in seen):
+                    removed.append(k)
+                seen.append(s)
+        out[doc_id] = removed
+    return out
+
+
+def test_short_lines(spark):
+    docs = corpus(7, 60) + [(400, "Read more\n\none, TWO\n--\nread"), (401, "read  MORE!\n\n--\nread more now\none two\none two three four five"), (402, "read")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_with_short(docs)
+    assert want[401] == [0, 4] and want[402] == [0]
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df, short_lines=True).collect()} == want
+
+
+def test_pipeline_stage_takes_short_lines(spark):
+    df = spark.createDataFrame([(1, "Read more\nfirst of all texts"), (2, "read more\nanother one"), (3, "READ MORE")], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_deduplication(spark, df, "").collect()}
+    assert left == {1: "Read more\nfirst of all texts", 2: "another one"}
