@@ -4,8 +4,9 @@ Every text becomes the set of its five-word shingles, embedded as ``COORDINATES`
 are one class from the start. A run splits the classes recursively: at each node a coordinate (at times two, so that a
 pair at the threshold keeps about one common path) is chosen by a hash of the path, and a class goes to the child of its
 minhash there. A bucket of at most ``LEAF`` classes is compared by brute force on byte sketches; larger ones are split
-again, and what is still large at ``DEPTH`` is compared in pairs of blocks, so no bucket is cut. ``RUNS`` independent
-runs leave a pair at the threshold a chance of under 1e-4 to be missed (see ``miss_probability``).
+again, and what is still large at ``DEPTH`` is compared in pairs of blocks, so no bucket is cut. Every level loses pairs,
+so there are as many runs as leave a pair at the threshold a chance of under ``MISSED`` to be missed even where all its
+buckets are split down to ``DEPTH`` (see ``miss_probability``).
 
 Candidate links make groups; within a group the whole shingle sets are compared exactly, all against all, block by
 block, and each class counts its links. Only classes in candidate groups ship their sets, once each.
@@ -13,7 +14,10 @@ block, and each class counts its links. Only classes in candidate groups ship th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,7 @@ from calltide.llm.components import components
 from calltide.llm.textvec import U64, ascii_lower_words, mix, slices, span_hashes, utf8
 
 COORDINATES = 128
-RUNS = 10
+MISSED = 1e-4
 FIRST_DEPTH = 2
 DEPTH = 6
 LEAF = 64
@@ -42,13 +46,25 @@ BLOCK_SHINGLES = 2_000_000
 _SALTS = (mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def miss_probability(similarity: float, depth: int = FIRST_DEPTH, runs: int = RUNS, threshold: float = SIMILARITY) -> float:
-    """That a pair of this similarity shares no bucket in any run, where buckets are leaves at ``depth``."""
-    second, alive = 1 / threshold - 1, 1.0
-    for _ in range(depth):
-        hit = similarity * alive
-        alive = 1 - (1 - second) * (1 - hit) - second * (1 - hit) ** 2
-    return (1 - alive) ** runs
+def miss_probability(similarity: float, depth: int = DEPTH, runs: int | None = None, threshold: float = SIMILARITY) -> float:
+    """That a pair of this similarity shares no bucket in any run, where buckets are leaves at ``depth``.
+
+    All runs draw from the same minhash values, so they are independent only given how many of these agree.
+    """
+    runs, second, missed = runs or runs_needed(threshold), min(1.0, 1 / threshold - 1), 0.0
+    for agree in range(COORDINATES + 1):
+        alive = 1.0
+        for _ in range(depth):
+            hit = agree / COORDINATES * alive
+            alive = 1 - (1 - second) * (1 - hit) - second * (1 - hit) ** 2
+        missed += math.comb(COORDINATES, agree) * similarity**agree * (1 - similarity) ** (COORDINATES - agree) * (1 - alive) ** runs
+    return missed
+
+
+@lru_cache
+def runs_needed(threshold: float) -> int:
+    """The least number of runs that misses a pair at the threshold with a chance of under MISSED at DEPTH."""
+    return next(n for n in count(1) if miss_probability(threshold, DEPTH, n, threshold) < MISSED)
 
 
 def shingle_sets(texts: list[str], words_each: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -130,13 +146,14 @@ def _features(docs: DataFrame) -> DataFrame:
 
 def _children(level: DataFrame, threshold: float, first: bool) -> DataFrame:
     """(class, n, key) of the next nodes of (class, n, signature[, key]); without keys, all runs' nodes at FIRST_DEPTH."""
+    runs = runs_needed(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes = np.array(batch.column("class"), np.int64), np.array(batch.column("n"), np.int32)
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
             if first:
-                row, key = np.tile(np.arange(len(ids)), RUNS), mix(np.repeat(np.arange(1, RUNS + 1).astype(U64), len(ids)))
+                row, key = np.tile(np.arange(len(ids)), runs), mix(np.repeat(np.arange(1, runs + 1).astype(U64), len(ids)))
             else:
                 row, key = np.arange(len(ids)), np.array(batch.column("key"), np.int64).view(U64)
             for _ in range(FIRST_DEPTH if first else 1):
