@@ -1,6 +1,7 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its five-word shingles, as 32-bit hashes, written once as a table that all later steps read. Tokens
+A line's tokens are its five-word shingles, as 64-bit hashes, written once as a table that all later steps read: sets are
+named and verified by them. Candidates are found by the low 32 bits, which only costs a few more of them. Tokens
 are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order fits in a
 literal of fixed size). Lines of fewer than five words have no tokens, or with ``short_lines`` one of all their words,
 so that exact repeats of them go too. Two sets with Jaccard similarity of at
@@ -32,7 +33,7 @@ BROADCAST_ROWS = 1_000_000
 #: Documents and lines of the result up to which they are broadcast to the documents: some 60 MB.
 BROADCAST_LINES = 4_000_000
 #: Parity of a set's tokens by their low six bits: no two sets differ in fewer tokens than in bits.
-PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, t & 63))"
+PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS INT)))"
 #: What names a line: its document's id, the hash of the document's text, and its number.
 POSITION = ["d", "h", "line"]
 
@@ -46,12 +47,12 @@ def _word_hashes(line: Column) -> Column:
 
 
 def _shingles(words: str) -> Column:
-    each = lambda w, i: F.hash(w, *(F.get(words, i + F.lit(k)) for k in range(1, SHINGLE_WORDS)))
+    each = lambda w, i: F.xxhash64(w, *(F.get(words, i + F.lit(k)) for k in range(1, SHINGLE_WORDS)))
     return F.slice(F.transform(words, each), F.lit(1), F.greatest(F.size(words) - (SHINGLE_WORDS - 1), F.lit(1)))
 
 
 def token_sets(docs: DataFrame, doc_id: str, text: str, short_lines: bool = False) -> DataFrame:
-    """(d, h, line, k, tokens array<int>): the distinct shingles of every line of at least five words; k names the set.
+    """(d, h, line, k, tokens array<long>): the distinct shingles of every line of at least five words; k names the set.
 
     With ``short_lines`` a line of one to four words has one token, made of all its words.
     """
@@ -73,8 +74,8 @@ def rarity_order(sets: DataFrame) -> Column:
 
 
 def ordered(tokens: str, ranks: Column) -> Column:
-    """The tokens by rarity, each below the rank of its counter."""
-    place = lambda s: F.shiftleft(F.get(ranks, s.bitwiseAND(BUCKETS - 1)).cast("long"), 32).bitwiseOR(s.cast("long").bitwiseAND(0xFFFFFFFF))
+    """The low 32 bits of the tokens by rarity, each below the rank of its counter; two tokens may become one value."""
+    place = lambda s: F.shiftleft(F.get(ranks, s.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(s.bitwiseAND(0xFFFFFFFF))
     return F.sort_array(F.transform(tokens, place))
 
 
@@ -89,7 +90,7 @@ def _could_match(nx: Column, px: Column, ny: Column, py: Column, percent: int) -
 
 
 def _token(place: Column) -> Column:
-    """The token of an entry of ``ordered``: its low 32 bits."""
+    """The prefix token of an entry of ``ordered``: its low 32 bits."""
     low = place.bitwiseAND(0xFFFFFFFF)
     return F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
 

@@ -111,3 +111,22 @@ def test_pipeline_stage_takes_short_lines(spark):
     df = spark.createDataFrame([(1, "Read more\nfirst of all texts"), (2, "read more\nanother one"), (3, "READ MORE")], "doc_id long, text string")
     left = {r.doc_id: r.text for r in corpus_pipeline.line_deduplication(spark, df, "").collect()}
     assert left == {1: "Read more\nfirst of all texts", 2: "another one"}
+
+
+def test_unlike_lines_with_equal_32_bit_hashes_stay(spark):
+    """Two lines of one shingle each, which Spark's murmur hash of their words maps to the same value."""
+    docs = [(1, "line number 247325 of many"), (2, "line number 262656 of many"), (3, "line number 98830 of many"), (4, "line number 134566 of many"), (5, "Line number 98830 of many")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashed = df.select("doc_id", line_dedup.F.expr("hash(xxhash64('line'), xxhash64('number'), xxhash64(split(text, ' ')[2]), xxhash64('of'), xxhash64('many'))").alias("h"))
+    assert hashed.where("doc_id < 5").select("h").distinct().count() == 2
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == {1: [], 2: [], 3: [], 4: [], 5: [0]}
+
+
+def test_prefix_tokens_of_equal_low_bits(spark, monkeypatch):
+    """With 3 bits left of a prefix token, sets hold equal ones; the result does not change."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1)
+    monkeypatch.setattr(line_dedup, "_token", lambda place: place.bitwiseAND(7).cast("int"))
+    monkeypatch.setattr(line_dedup, "ordered", lambda tokens, ranks: line_dedup.F.sort_array(line_dedup.F.transform(tokens, lambda s: s.bitwiseAND(7))))
+    docs = corpus(11, 80)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == brute(docs)
