@@ -3,7 +3,9 @@
 The `tokenizers` library spends several microseconds on each token. Here a batch is cut into pre-tokens by array
 operations, equal pre-tokens are found by a 64-bit hash, and only pre-tokens not met before by this worker are merged,
 all of them together, one merge a word and round. Texts with characters outside `plain` (where normal forms, case or
-Unicode versions could differ) go through the library itself, so ids are those of the library for every text.
+Unicode versions could differ) go through the library itself, so ids are those of the library for every text. With
+``added_tokens``, as operators use it, texts that hold the text of an added token (``<|endoftext|>``) go there too and get
+its id, as the unaltered library gives it; without, such a text is one like any other.
 """
 
 from __future__ import annotations
@@ -89,13 +91,15 @@ class _PairTable:
 class WordBPE:
     """ids(texts) -> (all ids as uint32, offsets): the ids the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str, cache_ids: int = 4_000_000):
+    def __init__(self, path: str, cache_ids: int = 4_000_000, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added_tokens
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.added = [t["content"].lower() for t in whole.get("added_tokens", [])] if added_tokens else []
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         symbols, end = _byte_symbols(), model["end_of_word_suffix"]
         self.inner = np.array([vocab[s] for s in symbols], np.uint32)
@@ -125,6 +129,8 @@ class WordBPE:
         codes, offsets = codepoints(texts)
         odd = (codes >= TABLE) | ~self.plain[np.minimum(codes, TABLE - 1)]
         odd_texts = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)
+        if self.added:
+            odd_texts = np.union1d(odd_texts, [k for k, t in enumerate(map(str.lower, texts)) if any(a in t for a in self.added)]).astype(np.int64)
         if len(odd_texts):
             by_library = {int(k): np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32) for k in odd_texts}
             rest = [k for k in range(len(texts)) if k not in by_library]
@@ -246,5 +252,5 @@ _LOADED: dict[str, WordBPE] = {}
 def word_bpe(path: str) -> WordBPE:
     """The tokenizer of this Python worker; its cache of words lasts from task to task."""
     if path not in _LOADED:
-        _LOADED[path] = WordBPE(path)
+        _LOADED[path] = WordBPE(path, added_tokens=True)
     return _LOADED[path]

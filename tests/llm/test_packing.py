@@ -72,3 +72,20 @@ def test_genetic_search_is_no_worse_than_best_fit():
     assert np.bincount(again, sizes).max() <= 4096
     child = packing.crossover(sizes, first, best, 4096, np.random.default_rng(4))
     assert np.bincount(child, sizes).max() <= 4096 and (np.bincount(child) > 0).all()
+
+
+MARKED = ["end <|endoftext|> next", "a<|startoftext|>b<|endoftext|>", "Upper <|ENDOFTEXT|> x", "<|endoftext", "é½ <|endoftext|>中", "plain words", "", "x " * 2000 + "<|endoftext|>"]
+
+
+def test_added_tokens_are_those_of_the_unaltered_library(spark):
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert want[0] == [806, 49407, 1131]
+    bpe = WordBPE(PATH, added_tokens=True)
+    ids, offsets = bpe.ids(MARKED)
+    assert [ids[offsets[k] : offsets[k + 1]].tolist() for k in range(len(MARKED))] == want
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(df, PATH).collect() if r.piece == 0}
+    for k, own in enumerate(want):
+        part = [*own, 1][:4096]
+        assert got[k] == (len(part), zlib.crc32(np.array(part, "<u4").tobytes())), MARKED[k]
