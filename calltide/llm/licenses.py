@@ -1,6 +1,6 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A file's own licence is the best-matching template among its header segments (a line with a licence word, alone and
+A file's own licence is the best-matching template among its header segments (a line with a gate word, alone and
 with up to five lines after it) and, for files named like one, its whole text. Document frequencies are counted over all
 texts for the words of the templates; other words weigh as words never seen. A file without a licence of its own takes
 that of the nearest ancestor directory that holds a licence file, found by joins on directory paths.
@@ -27,7 +27,7 @@ LINES_AFTER = 5
 BROADCAST_DIRECTORIES = 200_000
 #: Names of licence files, without extension, in lower case.
 LICENCE_FILES = ("license", "licence", "copying", "copyright", "unlicense")
-#: A segment without any of these words is no licence header.
+#: A line with one of these words may begin a licence header; `gate` adds what the templates need besides.
 LICENCE_WORDS = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "gpl", "lgpl", "agpl", "unlicense", "copying", "redistribution", "permission", "dedicated")
 #: Well-known headers and notices, by SPDX id.
 TEMPLATES = {
@@ -68,6 +68,12 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
+def gate(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> frozenset[str]:
+    """The words that begin header segments: LICENCE_WORDS, and of each template without any of them its longest word."""
+    lacking = [words for texts in templates.values() for t in texts if (words := words_of(t)) and set(LICENCE_WORDS).isdisjoint(words)]
+    return frozenset(LICENCE_WORDS).union(max(words, key=len) for words in lacking)
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     raw, offsets = utf8(words)
     return span_hashes(raw, offsets[:-1], offsets[1:])
@@ -106,11 +112,11 @@ class Matcher:
         return self.names[k], min(1.0, dots[k] / norm)
 
 
-def segments(text: str, whole: bool) -> Iterator[str]:
-    """The header segments of a text, and the text itself for a licence file."""
+def segments(text: str, whole: bool, words: frozenset[str] = gate()) -> Iterator[str]:
+    """The header segments of a text, begun by lines with one of the words, and the text itself for a licence file."""
     lines = text.split("\n")
     for k, line in enumerate(lines):
-        if not set(LICENCE_WORDS).isdisjoint(words_of(line)):
+        if not words.isdisjoint(words_of(line)):
             yield line
             for after in range(1, min(LINES_AFTER, len(lines) - 1 - k) + 1):
                 yield "\n".join(lines[k : k + 1 + after])
@@ -158,7 +164,8 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text", keep:
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in words_of(t)})
     df, total = document_frequencies(files, vocabulary, text)
     shared = files.sparkSession.sparkContext.broadcast(Matcher(templates, df, total))
-    marks = np.sort(_hashes(list(LICENCE_WORDS)))
+    words_marked = gate(templates)
+    marks = np.sort(_hashes(sorted(words_marked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +179,7 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text", keep:
                 for k, has in enumerate(marked[first[1:]] > marked[first[:-1]]):
                     best = (None, 0.0)
                     if has or whole[i + k]:
-                        best = min((shared.value.best(s) for s in segments(texts[i + k], bool(whole[i + k]))), key=lambda b: (-b[1], b[0] or "~"), default=best)
+                        best = min((shared.value.best(s) for s in segments(texts[i + k], bool(whole[i + k]), words_marked)), key=lambda b: (-b[1], b[0] or "~"), default=best)
                     found = best[1] >= threshold
                     names.append(best[0] if found else None)
                     scores.append(best[1] if found else 0.0)

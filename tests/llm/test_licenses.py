@@ -51,3 +51,17 @@ def test_headers_files_and_inheritance(spark):
         score, name = brute_best(texts, texts[[f[0] for f in files].index(r.doc_id)], bool(r.path and r.path.split("/")[-1].split(".")[0].lower() in licenses.LICENCE_FILES))
         assert abs(r.own_score - (score if score >= licenses.THRESHOLD else 0)) < 1e-6
         assert r.own_license == (name if score >= licenses.THRESHOLD else None)
+
+
+def test_every_template_passes_the_gate(spark):
+    templates = licenses.TEMPLATES | {"Own": ("Everybody may use these scribblings.",)}
+    for name, texts in templates.items():
+        for t in texts:
+            assert not licenses.gate(templates).isdisjoint(licenses.words_of(t)), name
+    files = [(k, f"r/f{k}.py", f"# prose about it\n# {t}\nx = 1") for k, t in enumerate(t for ts in templates.values() for t in ts)]
+    files += [(100, "r/LICENSE", "Released under the MIT License."), (101, "r/u.py", "# This is free and unencumbered software\n# released into the public domain."), (102, "r/v.py", "free software in the public domain")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, templates=templates).collect()}
+    names = [name for name, ts in templates.items() for _ in ts]
+    assert [got[k] for k in range(len(names))] == [(name, "header") for name in names]
+    assert got[101] == ("Unlicense", "header") and got[102] == ("MIT", "inherited")
