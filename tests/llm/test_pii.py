@@ -70,3 +70,23 @@ def test_summary(spark):
     assert got[0] == got[1] == (1, 1, 0, 1, 0, hashlib.sha256(listed.encode()).hexdigest(), listed)
     assert got[2] == (2, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
     assert pii.summary(df.limit(0)).count() == 0
+
+
+DE, GB, NO = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"IBAN {DE} BIC COBADEFFXXX", [DE]), (f"{GB} USD 500", [GB]), (f"{DE} {GB} {NO}", [DE, GB, NO]), (f"{NO} 12 A", [NO]), (f"{GB}, then", [GB]),
+        (f"AB12 {DE}", [DE]), (f"{DE}X", []), (f"{DE}x", []), (f"x{DE}", []), ("DE88370400440532013000 BIC", []), (f"{DE}é", [DE]), ("ZZ", []),
+        ("XX57 1234 5678 9012 345 NEXT", ["XX57 1234 5678 9012 345"]),
+    ],
+)
+def test_ibans_before_capitals_and_numbers(text, want):
+    assert [text[s.start : s.end] for s in pii.scan(text) if s.kind == "iban"] == want
+
+
+def test_time_of_ibans_is_linear():
+    for text in ("AB12 " * 200_000, "DE89 3704 0044 0532 0130 00 " * 40_000, "ZZ12" + " A" * 500_000):
+        pii.scan(text)
