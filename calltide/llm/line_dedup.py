@@ -1,9 +1,9 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame operations only.
 
 A line's tokens are its five-word shingles, as 64-bit hashes, written once as a table that all later steps read: sets are
-named and verified by them. Candidates are found by the low 32 bits, which only costs a few more of them. Tokens
-are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order fits in a
-literal of fixed size). Lines of fewer than five words have no tokens, or with ``short_lines`` one of all their words,
+named (by 128 bits) and verified by them. Candidates are found by 32-bit hashes of them, which only costs a few more of
+them. Tokens are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order
+fits in a literal of fixed size). Lines of fewer than five words have no tokens, or with ``short_lines`` one of all their words,
 so that exact repeats of them go too. Two sets with Jaccard similarity of at
 least ``PERCENT`` share a token within their prefixes; candidates come from a join on prefix tokens with length and
 positional bounds, and are verified on whole token sets. A line with an earlier match goes.
@@ -17,21 +17,24 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm.common import SHINGLE_WORDS, drop_table, materialize
 
 BUCKETS = 1 << 16
 PERCENT = 80
-#: What stands between words after lower-casing; listed one by one, since Java looks such a class up in a bit table.
-NOT_WORD = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z") + "]+"
+#: A word after lower-casing: all but the listed characters, one by one, since Java looks such a class up in a bit table.
+WORD = "[^" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z") + "]+"
 #: Bits of the bitmap of tokens that several classes share.
 SEEN_BITS = 1 << 24
-#: Set names (longs) up to which a join broadcasts them: some tens of MB.
+#: Set names (16 bytes) up to which a join broadcasts them: some 60 MB with the table's overhead.
 BROADCAST_ROWS = 1_000_000
-#: Documents and lines of the result up to which they are broadcast to the documents: some 60 MB.
-BROADCAST_LINES = 4_000_000
+#: Bytes of the result up to which it is broadcast to the documents, counted with ROW_BYTES for the fixed part of a row.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 80
+#: How tables of hashes are written: a dictionary of them only costs time.
+HASHED = {"parquet.enable.dictionary": "false"}
 #: Parity of a set's tokens by their low six bits: no two sets differ in fewer tokens than in bits.
 PARITY = "aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, CAST(t & 63 AS INT)))"
 #: What names a line: its document's id, the hash of the document's text, and its number.
@@ -43,7 +46,7 @@ def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _word_hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, NOT_WORD), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def _shingles(words: str) -> Column:
@@ -52,31 +55,36 @@ def _shingles(words: str) -> Column:
 
 
 def token_sets(docs: DataFrame, doc_id: str, text: str, short_lines: bool = False) -> DataFrame:
-    """(d, h, line, k, tokens array<long>): the distinct shingles of every line of at least five words; k names the set.
+    """(d, h, line, k, tokens array<long>): the distinct shingles, rising, of every line of at least five words; k names the set.
 
-    With ``short_lines`` a line of one to four words has one token, made of all its words.
+    With ``short_lines`` a line of one to four words has one token, made of all its words. ``k`` is a struct of two longs.
     """
     words = _named(docs, doc_id, text).select("d", "h", F.posexplode(F.transform("lines", _word_hashes)).alias("line", "words"))
     sets = words.where(F.size("words") >= (1 if short_lines else SHINGLE_WORDS)).select(*POSITION, F.sort_array(F.array_distinct(_shingles("words"))).alias("tokens"))
-    return sets.select(*POSITION, F.xxhash64("tokens").alias("k"), "tokens")
+    return sets.select(*POSITION, F.struct(F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b")).alias("k"), "tokens")
 
 
 def rarity_order(sets: DataFrame) -> Column:
-    """A literal array: the rank of each hashed counter of tokens, rarest first."""
-    counted = sets.select(F.explode("tokens").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()
+    """A literal array, by the high bits of a token: what turns them into the rank of their counter, rarest first, by xor."""
+    counted = sets.select(F.explode("tokens").alias("s")).groupBy(_counter(F.col("s")).alias("bucket")).count().collect()
     counts = [0] * BUCKETS
     for row in counted:
         counts[row.bucket] = row["count"]
-    ranks = [0] * BUCKETS
+    turns = [0] * BUCKETS
     for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        ranks[bucket] = rank
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+        high = (bucket ^ rank ^ BUCKETS >> 1) << 65 - BUCKETS.bit_length()  # the top bit is the sign: rank 0 comes first
+        turns[bucket] = high - (1 << 64) if high >> 63 else high
+    return F.from_json(F.lit(json.dumps(turns)), "array<bigint>")
 
 
-def ordered(tokens: str, ranks: Column) -> Column:
-    """The low 32 bits of the tokens by rarity, each below the rank of its counter; two tokens may become one value."""
-    place = lambda s: F.shiftleft(F.get(ranks, s.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(s.bitwiseAND(0xFFFFFFFF))
-    return F.sort_array(F.transform(tokens, place))
+def _counter(token: Column) -> Column:
+    """The number of a token's counter: its high bits."""
+    return F.shiftrightunsigned(token, 65 - BUCKETS.bit_length()) if BUCKETS > 1 else F.lit(0)
+
+
+def ordered(tokens: str, turns: Column) -> Column:
+    """The tokens, one to one as longs that sort by rarity, rarest first."""
+    return F.sort_array(F.transform(tokens, lambda s: s.bitwiseXOR(F.get(turns, _counter(s)))))
 
 
 def _least_common(n: Column, percent: int) -> Column:
@@ -90,9 +98,8 @@ def _could_match(nx: Column, px: Column, ny: Column, py: Column, percent: int) -
 
 
 def _token(place: Column) -> Column:
-    """The prefix token of an entry of ``ordered``: its low 32 bits."""
-    low = place.bitwiseAND(0xFFFFFFFF)
-    return F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
+    """The prefix token of an entry of ``ordered``, in 32 bits."""
+    return F.hash(place)
 
 
 def _few_differ(x: str, y: str, percent: int) -> Column:
@@ -134,44 +141,42 @@ def _bit(token: str) -> Column:
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short_lines: bool = False) -> DataFrame:
     """(d, h, removed array<int>) of each document, named by id and text hash, that loses lines: their numbers, rising."""
-    lines = materialize(token_sets(docs, doc_id, text, short_lines))
+    lines = materialize(token_sets(docs, doc_id, text, short_lines), HASHED)
     n = F.size("tokens")
-    keyed = lines.select(*POSITION, "k", F.expr(PARITY).alias("parity"), ordered("tokens", rarity_order(lines)).alias("tokens")).select(
-        *POSITION, "k", "parity", n.alias("n"), F.transform(F.slice("tokens", F.lit(1), n - _least_common(n, percent) + 1), _token).alias("prefix")
-    )
-    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
-    classes = materialize(classes.select("k", "at.*", "n", "parity", "prefix"))
+    prefix = F.transform(F.slice(ordered("tokens", rarity_order(lines)), F.lit(1), n - _least_common(n, percent) + 1), _token)
+    keyed = lines.select(*POSITION, "k", F.expr(PARITY).alias("parity"), n.alias("n"), prefix.alias("prefix"))
+    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+    classes = materialize(classes.select("k", "at.*", "copies", "n", "parity", "prefix"), HASHED)
 
     # tokens of one class only, most of them, go before anything is shuffled; the bitmap is at most 4 MB and so broadcast
     seen = materialize(_seen_twice(classes))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     entries = classes.select("k", *POSITION, "n", "parity", F.posexplode("prefix").alias("place", "token")).withColumn("word", _word("token"))
-    entries = entries.join(F.broadcast(seen), "word").where(F.getbit("bits", _bit("token")) == 1).drop("word", "bits")
-    entries = entries.withColumn("sharers", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sharers > 1")
-    own = F.struct("k", *POSITION, "n", "parity", "place")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    by_band = Window.partitionBy("token", "band").orderBy(*POSITION, "k").rowsBetween(Window.unboundedPreceding, 0)
-    entries = entries.withColumn("band", band).select("token", own.alias("x"), F.first(own).over(by_band).alias("leader"))
-    entries = materialize(entries)
+    entries = entries.join(F.broadcast(seen), "word").where(F.getbit("bits", _bit("token")) == 1)
+    entries = materialize(entries.select("token", band.alias("band"), F.struct(*POSITION, "k", "n", "parity", "place").alias("x")), HASHED)
+    # the earliest line of each token and length, by aggregation and join: a token that many lines share is split
+    leaders = entries.groupBy("token", "band").agg(F.min("x").alias("leader"))
+    led = materialize(entries.join(leaders, ["token", "band"]).where(F.col("x.k") != F.col("leader.k")).select("token", "x", "leader"), HASHED)
 
     bounds = lambda x, y: _before(y, x) & _could_match(F.col(f"{x}.n"), F.col(f"{x}.place"), F.col(f"{y}.n"), F.col(f"{y}.place"), percent) & _few_differ(x, y, percent)
-    settled = _verified(entries.where(bounds("x", "leader")).select(F.col("x.k").alias("x"), F.col("leader.k").alias("y")).distinct(), lines, percent)
-    open_ = entries.select("token", "x", "x.k", F.col("leader.k").alias("led")).join(settled, "k", "left_anti")
-    met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y") & (F.col("y.k") != F.col("led")))
+    settled = _verified(led.where(bounds("x", "leader")).select(F.col("x.k").alias("x"), F.col("leader.k").alias("y")).distinct(), lines, percent)
+    open_ = entries.select("token", "x", "x.k").join(settled, "k", "left_anti")
+    met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y"))
     later = _verified(met.select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct(), lines, percent)
-    removed = settled.unionByName(later)
-    stays = classes.join(removed, "k", "left_anti").select(*POSITION, F.col("line").alias("stays"))
-    every = lines.select(*POSITION, F.lit(None).cast("int").alias("stays")).unionByName(stays)
-    gone = every.groupBy("d", "h").agg(F.sort_array(F.array_except(F.collect_set("line"), F.collect_set("stays"))).alias("removed"))
-    gone = materialize(gone.where(F.size("removed") > 0))
-    for used in (lines, classes, seen, entries, settled, later):
+    removed = settled.unionByName(later).withColumn("matched", F.lit(True))
+    # lines of classes with copies or matches; of a class without a match the first line stays
+    loses = classes.select("k", "copies", F.struct(*POSITION).alias("at")).join(removed, "k", "left").where("matched OR copies > 1").drop("copies")
+    gone = lines.select("k", *POSITION).join(loses, "k").where(F.col("matched") | (F.struct(*POSITION) != F.col("at")))
+    gone = materialize(gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    for used in (lines, classes, seen, entries, led, settled, later):
         drop_table(used)
     return gone
 
 
 def _with_removed(rows: DataFrame, gone: DataFrame, d: str, h: str) -> DataFrame:
-    """``rows`` with ``removed``, null where a document loses nothing: broadcast up to BROADCAST_LINES, else joined by document."""
-    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
-    small = F.broadcast(gone) if size.rows + size.lines <= BROADCAST_LINES else gone
+    """``rows`` with ``removed``, null where a document loses nothing: broadcast up to BROADCAST_BYTES, else joined by document."""
+    size = gone.agg(F.coalesce(F.sum(ROW_BYTES + 4 * F.size("removed")), F.lit(0)).alias("bytes")).first()
+    small = F.broadcast(gone) if size.bytes <= BROADCAST_BYTES else gone
     return rows.join(small, F.col(d).eqNullSafe(gone["d"]) & (F.col(h) == gone["h"]), "left")
 
 
