@@ -43,6 +43,32 @@ def age_bucket(then: Column | str, today: Column) -> Column:
     return F.when(days <= 0, "today").when(days == 1, "1 day ago").when(days < 30, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(months, F.lit(" mo ago")))
 
 
+def age_label(text: Column | str, today: Column) -> Column:
+    """age_bucket of a date written as text; blank stays blank, and what is no date is given back."""
+    t = F.coalesce(col(text), F.lit(""))
+    return F.when(t == "", "").otherwise(F.coalesce(age_bucket(F.coalesce(F.try_to_date(t, "yyyy-MM-dd"), F.to_date(parse_timestamp(t))), today), t))
+
+
+def elapsed_ms(start: Column | str, end: Column | str) -> Column:
+    """Whole milliseconds between two timestamps, cut towards zero."""
+    return (F.timestamp_diff("MICROSECOND", col(start), col(end)) / 1000).cast("bigint")
+
+
+def response_cost(cost: Column | str, total_cost: Column | str) -> Column:
+    """The response's cost unless it is null or zero, else the usage's total cost."""
+    return F.coalesce(F.nullif(col(cost), F.lit(0.0)), col(total_cost))
+
+
+def rounded(value: Column | str, places: int = 3) -> Column:
+    """For display; results that are computed with stay unrounded."""
+    return F.round(col(value), places)
+
+
+def newest_first(items: Column | str, most: int) -> Column:
+    """The last ``most`` items of an array, last first; null has none."""
+    return F.coalesce(F.slice(F.reverse(col(items)), 1, most), F.array())
+
+
 def int_ids(ids: Column | str) -> Column:
     """Distinct ints of a list of strings, sorted; what is no int is left out, and null gives none."""
     each = F.transform(F.coalesce(col(ids).cast("array<string>"), F.array().cast("array<string>")), lambda x: F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(x)).try_cast("int"))

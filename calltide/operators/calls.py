@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.functions.text import strip
+from calltide.functions.text import strings, strip
 from calltide.functions.values import first_truthy
 
 
@@ -29,13 +29,17 @@ def normalize(joined: DataFrame) -> DataFrame:
     """The call table's 21 columns and seq, from calls with a struct ``m`` of metrics.
 
     Zero tokens count as absent, zero cost does not; cost falls back from the call to the metric to the usage figure.
+    A missing label, query or response is empty; one that the log has as null stays null (``nulls``, where the calls have
+    it, lists those fields).
     """
+    nulls = F.coalesce(F.col("nulls"), strings(())) if "nulls" in joined.columns else strings(())
+    text = lambda c: F.coalesce(F.col(c), F.when(~F.array_contains(nulls, c), ""))
     vision = F.coalesce(F.col("mode") == "wargame-vision", F.lit(False))
     empty = lambda c: F.coalesce(c, F.array().cast("array<int>"))
     none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return joined.select(
-        "seq", "timestamp", F.when(vision, "vision").otherwise("audit").alias("kind"), F.coalesce(F.when(vision, F.col("model")).otherwise(F.col("template")), F.lit("")).alias("label"),
-        F.coalesce("query", F.lit("")).alias("query"), F.coalesce("response", F.lit("")).alias("response"),
+        "seq", "timestamp", F.when(vision, "vision").otherwise("audit").alias("kind"), F.when(vision, text("model")).otherwise(text("template")).alias("label"),
+        text("query").alias("query"), text("response").alias("response"),
         first_truthy(F.when(vision, F.col("preamble_text_tokens")).otherwise(F.col("preamble_tokens")), "m.preamble_tokens", default=0).alias("tokens"),
         F.coalesce("cost_usd", "m.cost_usd", "usage_cost").alias("cost_usd"), "latency_ms", "wrapper_elapsed_ms", F.col("m.conclusion_changed"), F.col("m.exit_code"), "template",
         empty(F.col("new_query_corpus_ids")).alias("new_query_corpus_ids"), empty(F.col("matched_prior_corpus_ids")).alias("matched_prior_corpus_ids"), "injected_prior_count", "model", "state_dir",

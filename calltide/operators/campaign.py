@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calltide.functions.text import last_part, title_from_slug
+from calltide.functions.text import last_part, strings, title_from_slug
 
 
 def with_defaults(campaigns: DataFrame, budget: float, model: str) -> DataFrame:
@@ -41,12 +43,22 @@ def issue_turn(turns: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame
 
 
 def add_spend(campaigns: DataFrame, calls: DataFrame, key: str = "slug", cost: str = "cost_usd") -> DataFrame:
-    """Spend plus the costs of new calls (null counts 0), to six places."""
-    new = calls.groupBy(key).agg(F.sum(F.coalesce(F.col(cost), F.lit(0.0)).cast("decimal(28,8)")).alias("__new"))
+    """Spend plus the costs of new calls (null counts 0), rounded to six places at each call.
+
+    Spend has six places once it is written, so rounding after each addition is rounding each cost: a sum in any order.
+    """
+    new = calls.groupBy(key).agg(F.sum(F.round(F.coalesce(F.col(cost), F.lit(0.0)).cast("decimal(28,8)"), 6)).alias("__new"))
     joined = campaigns.join(new, key, "left")
     return joined.withColumn("spend", F.round(F.coalesce("spend", F.lit(0.0)) + F.coalesce("__new", F.lit(0)).cast("double"), 6)).drop("__new")
 
 
+def health(spark: SparkSession, checks: Mapping[str, bool | str], campaigns_: DataFrame) -> DataFrame:
+    """One row: ok, checks as a map, ``issues`` (checks that are false or begin with "missing", in their order) and how many campaigns there are."""
+    bad = [k for k, v in checks.items() if v is False or (isinstance(v, str) and v.startswith("missing"))]
+    shown = F.create_map(*(F.lit(x) for k, v in checks.items() for x in (k, str(v).lower() if isinstance(v, bool) else v))) if checks else F.create_map().cast("map<string,string>")
+    return campaigns_.agg(F.count(F.lit(1)).alias("campaigns")).select(F.lit(not bad).alias("ok"), shown.alias("checks"), strings(bad).alias("issues"), "campaigns")
+
+
 def units(tasks: DataFrame) -> DataFrame:
     """One row per unit of both sides of tasks (blue, red arrays of structs), in their order."""
     side = lambda s: tasks.select(F.lit(s).alias("side"), F.posexplode(s).alias("place", "u")).select("side", "place", "u.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.text import messages, passes_anti_leakage, passes_quality, question_lines
+from calltide.functions.values import exact_sum
 from calltide.sources.readers import call_model
 
 
@@ -17,6 +18,11 @@ def seed_rows(spark: SparkSession, seeds: Mapping[str, Sequence[str]], group: st
     return spark.createDataFrame(rows, f"{group} string, seed_idx int, seed string")
 
 
+def seed_totals(seeds: DataFrame, group: str = "template") -> DataFrame:
+    """(group, seeds) of a table with an array of seeds per group, and the total in a row of null group."""
+    return seeds.rollup(group).agg(F.sum(F.size("seeds")).cast("long").alias("seeds"))
+
+
 def expansion_tasks(seeds: DataFrame, domains: DataFrame) -> DataFrame:
     """Every seed with every domain; domains are a short list and are broadcast."""
     return seeds.crossJoin(F.broadcast(domains))
@@ -35,9 +41,10 @@ def generate(expansions: DataFrame, teacher: Callable[[str], dict], on_domain: b
     return called.withColumn("keep", F.col("error").isNull() & F.coalesce(good, F.lit(False)))
 
 
-def generation_report(generated: DataFrame) -> DataFrame:
-    """One row: written, skipped, cost of what was written."""
-    return generated.agg(F.count_if("keep").alias("written"), F.count_if(~F.col("keep")).alias("skipped"), F.coalesce(F.sum(F.when(F.col("keep"), F.coalesce("cost_usd", F.lit(0.0)))), F.lit(0.0)).alias("cost_usd"))
+def generation_report(generated: DataFrame, *by: str) -> DataFrame:
+    """written, skipped and the cost of what was written, in one row or one per group."""
+    cost = F.coalesce(exact_sum(F.when(F.col("keep"), F.coalesce("cost_usd", F.lit(0.0)))), F.lit(0.0))
+    return generated.groupBy(*by).agg(F.count_if("keep").alias("written"), F.count_if(~F.col("keep")).alias("skipped"), cost.alias("cost_usd"))
 
 
 def chat_examples(pairs: DataFrame, query: str = "query", response: str = "response") -> DataFrame:

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltide.functions.text import col, digest_parent, let, lines, strip, strip_right
+from calltide.functions.text import col, digest_parent, heading_level, let, lines, strip, strip_right
 
 #: The shapes of lines and blocks that conversion leaves behind.
 OMITTED_PICTURE = r"^\*\*==> picture \[[^\]]+\] intentionally omitted <==\*\*\s*$"
 PAGE_NUMBER = r"^Page \d+\s*$|^\d{1,3}\s*$"
-PICTURE_TEXT = r"\*\*----- Start of picture text -----\*\*<br>\s*\n%s<br>\*\*----- End of picture text -----\*\*<br>\s*\n"
+PICTURE_TEXT = r"(?U)\*\*----- Start of picture text -----\*\*<br>\s*\n([^\n]+?)<br>\*\*----- End of picture text -----\*\*<br>\s*\n"
+SECTION_NUMBER = r"(?U)^(\d+(?:\.\d+){0,3})\b"
 BANNER_REPEATS = 4
 BANNER_MOST_CHARS = 60
 KEEP_TURNS = 3
 
 
+def _picture_heading(block: Column) -> Column:
+    """A block's text as a heading of the level of its section number, or in bold where it begins with none."""
+    section = F.regexp_extract(block, SECTION_NUMBER, 1)
+    mark = F.repeat(F.lit("#"), heading_level(section).cast("int"))
+    return F.when(section == "", F.concat(F.lit("**"), block, F.lit("**"))).otherwise(F.concat(mark, F.lit(" "), block))
+
+
 def promote_picture_text(md: Column | str) -> Column:
-    """Blocks of picture text as headings by their section number, others in bold: one rewrite per heading level."""
-    out = col(md)
-    rest = r"([^\n]*?)"
-    blanks = r"[^\S\n]*"
-    levels = (
-        ("####", r"(\d+\.\d+\.\d+)(?![\d.]*\.\d)(?!\w)"), ("###", r"(\d+\.\d+\.\d+\.\d+)(?!\w)"), ("##", r"(\d+\.0)(?!\.\d)(?!\w)"), ("###", r"(\d+\.\d+)(?!\.\d)(?!\w)"), ("###", r"(\d+)(?!\.\d)(?!\w)"),
-    )
-    for mark, number in levels:
-        out = F.regexp_replace(out, PICTURE_TEXT % (blanks + number + rest + blanks), f"{mark} $1$2\n\n")
-    return F.regexp_replace(out, PICTURE_TEXT % (blanks + r"([^\n]+?)" + blanks), "**$1**\n\n")
+    """Blocks of picture text as headings by their section number, others in bold: the text between blocks stays as it is."""
+    headings = F.transform(F.regexp_extract_all(col(md), F.lit(PICTURE_TEXT), F.lit(1)), lambda b: F.concat(_picture_heading(strip(b)), F.lit("\n\n")))
+    return F.array_join(F.zip_with(F.split(col(md), PICTURE_TEXT), headings, lambda part, heading: F.concat(part, F.coalesce(heading, F.lit("")))), "")
 
 
 def _banner_shaped(line: Column) -> Column:
@@ -48,7 +51,7 @@ def clean_markdown(md: Column | str, repeats: int = BANNER_REPEATS) -> Column:
     """
     banners = lambda shaped: F.array_distinct(F.filter(shaped, lambda s, i: F.get(shaped, i + F.lit(repeats - 1)) == s))
     sorted_banners = lambda parts: let(F.sort_array(F.transform(F.filter(parts, _banner_shaped), strip)), banners)
-    noise = lambda x, found: x.rlike(OMITTED_PICTURE) | strip(x).rlike(PAGE_NUMBER) | F.array_contains(found, strip(x))
+    noise = lambda x, found: x.rlike(OMITTED_PICTURE) | strip(x).rlike(PAGE_NUMBER) | (_banner_shaped(x) & F.array_contains(found, strip(x)))
     kept = let(lines(promote_picture_text(md)), lambda parts: let(sorted_banners(parts), lambda found: F.filter(parts, lambda x: ~noise(x, found))))
     return F.concat(strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")), F.lit("\n"))
 
@@ -73,14 +76,23 @@ def prefer_digest(rules: DataFrame, name: str = "name", text: str = "text") -> D
     return books.join(short, "stem", "left").select("book", F.coalesce("__digest", "book").alias(name), F.coalesce("__short", "__text").alias(text))
 
 
+def indented_json(text: str | None) -> str | None:
+    """One small JSON file written again with an indent of two; None where it is absent or malformed."""
+    try:
+        return json.dumps(json.loads(text), indent=2) if text is not None else None
+    except ValueError:
+        return None
+
+
 def project_context(mission: str | None, tasks: str | None, turn_log: str | None, rules: DataFrame) -> DataFrame:
-    """One row ``context``: the project's files as sections, rule books by name; absent files are left out."""
+    """One row ``context``: the project's files as sections, rule books by name; absent files and tasks that are no JSON are left out."""
     book = F.concat(F.lit("### rules/"), F.col("name"), F.lit("\n\n"), F.col("text"), F.lit("\n"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book", book.alias("section")))), lambda x: x["section"]), "\n")
     one = prefer_digest(rules).agg(F.nullif(joined, F.lit("")).alias("books"))
     parts = []
     if mission is not None:
         parts.append(F.lit(f"### MISSION.md\n\n{mission}\n"))
+    tasks = indented_json(tasks)
     if tasks is not None:
         parts.append(F.lit(f"### tasks.json\n\n```json\n{tasks}\n```\n"))
     if turn_log is not None:

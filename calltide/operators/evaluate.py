@@ -134,6 +134,12 @@ def results_by_prompt(prompts: DataFrame, results: DataFrame, key: str = "idx")
     return prompts.join(results, key, "left")
 
 
+def results_json(prompts: DataFrame, results: DataFrame, key: str = "idx") -> DataFrame:
+    """(key, row) of every prompt: its result as JSON, {} where it has none, as a run that ended early leaves it."""
+    own = results.select(key, F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("row"))
+    return prompts.select(key).join(own, key, "left").select(key, F.coalesce("row", F.lit("{}")).alias("row"))
+
+
 def markdown_table(head: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
     """A Markdown table of a few collected rows, columns padded to their widest cell."""
     width = [max(len(str(r[k])) for r in [head, *rows]) for k in range(len(head))]

@@ -25,21 +25,18 @@ def sections(md: Column | str) -> Column:
 
     headers = lambda marked: F.filter(F.transform(marked, lambda x, i: F.when(x.rlike(_HEADER), i)), lambda i: i.isNotNull())
     found = let(F.transform(lines(md), strip_right), lambda marked: let(headers(marked), lambda at: entries(marked, at)))
-    return F.map_from_entries(let(found, lambda e: F.filter(e, lambda x, k: ~F.exists(F.slice(e, k + 2, F.size(e)), lambda later: later["key"] == x["key"]))))
+    ordered = F.array_sort(F.transform(found, lambda e, k: F.struct(e["key"].alias("key"), k.alias("place"), e["value"].alias("value"))))
+    last = let(ordered, lambda e: F.filter(e, lambda x, k: ~F.get(e, k + 1)["key"].eqNullSafe(x["key"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def bullets(body: Column | str) -> Column:
     """Bulleted items, each with the lines that follow it; lines before any bullet make one item."""
     items = F.filter(F.transform(lines(body), strip), lambda x: x != "")
     mark = r"^[-*+]\s+(.+)$"
-
-    def add(acc: Column, line: Column) -> Column:
-        fresh = line.rlike(mark) | (F.size(acc) == 0)
-        text = F.when(line.rlike(mark), strip(F.regexp_extract(line, mark, 1))).otherwise(line)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), line)))
-        return F.when(fresh, F.concat(acc, F.array(text))).otherwise(joined)
-
-    return F.aggregate(items, F.array().cast("array<string>"), add)
+    # one text in which each bullet begins with a character that lines can't hold, then split there
+    marked = F.transform(items, lambda x, k: F.when(x.rlike(mark), F.concat(F.lit("\x1e"), strip(F.regexp_extract(x, mark, 1)))).otherwise(F.concat(F.when(k == 0, "").otherwise(" "), x)))
+    return F.filter(F.split(F.array_join(marked, ""), "\x1e"), lambda x: x != "")
 
 
 def parse(docs: DataFrame, md: str = "md") -> DataFrame:

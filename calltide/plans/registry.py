@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 
 def _quoted(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
 def _hits(markers, column: str = "text") -> str:
@@ -120,10 +120,10 @@ def _calls(e: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     return e.select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("timestamp"), F.when(vision, "wargame-vision").alias("mode"), F.lit("q").alias("query"), none("string").alias("response"),
-        F.when(~vision, F.col("event_type")).alias("template"), F.when(vision, F.lit("m/vision")).alias("model"), F.when(k % 3 != 0, k).otherwise(0).alias("preamble_tokens"), (k + 1).alias("preamble_text_tokens"),
-        F.when(k % 2 == 0, F.col("value")).alias("cost_usd"), F.when(k % 7 == 0, 0.5).alias("usage_cost"), none("bigint").alias("latency_ms"), none("bigint").alias("wrapper_elapsed_ms"),
-        none("array<int>").alias("new_query_corpus_ids"), none("array<int>").alias("matched_prior_corpus_ids"), none("bigint").alias("injected_prior_count"), none("string").alias("state_dir"),
-        none("array<string>").alias("images"), none("array<string>").alias("xlsx"),
+        F.when(F.col("event_type").isin("signup", "error"), None).otherwise(F.col("event_type")).alias("template"), F.when((F.col("event_type") == "error") & (k % 2 == 1), F.array(F.lit("template"))).alias("nulls"), F.when(vision, F.lit("m/vision")).alias("model"), F.when(k % 3 != 0, k).otherwise(0).alias("preamble_tokens"), (k + 1).alias("preamble_text_tokens"),
+        F.when(k % 2 == 0, F.col("value")).alias("cost_usd"), F.when(k % 7 == 0, 0.5).alias("usage_cost"), (F.col("event_id") * 3).alias("latency_ms"), none("bigint").alias("wrapper_elapsed_ms"),
+        F.when(k % 4 == 0, F.array(k, F.lit(7))).alias("new_query_corpus_ids"), none("array<int>").alias("matched_prior_corpus_ids"), none("bigint").alias("injected_prior_count"), none("string").alias("state_dir"),
+        F.when(vision, F.array(F.lit("a.png"))).alias("images"), none("array<string>").alias("xlsx"),
     )
 
 
@@ -131,20 +131,25 @@ def _call_metrics(e: DataFrame) -> DataFrame:
     k = _k(e)
     return e.where(F.col("event_type") == "click").select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("timestamp"), k.alias("preamble_tokens"), F.when(k % 5 != 0, F.col("value")).alias("cost_usd"), (k % 2 == 0).alias("conclusion_changed"),
-        (k % 3).alias("exit_code"), F.lit(None).cast("bigint").alias("image_count"), F.lit(None).cast("bigint").alias("xlsx_count"),
+        (k % 3).alias("exit_code"), k.cast("bigint").alias("image_count"), F.lit(None).cast("bigint").alias("xlsx_count"),
     )
 
 
 @query(f"""
     WITH c AS (SELECT *, {_K} AS k FROM events),
     m AS (SELECT user_id, max_by(k, event_id) AS k, max_by(value, event_id) AS value FROM c WHERE event_type = 'click' GROUP BY user_id)
-    SELECT c.event_id AS seq, CAST(c.user_id AS VARCHAR) AS timestamp, CASE WHEN event_type = 'signup' THEN 'vision' ELSE 'audit' END AS kind, CASE WHEN event_type = 'signup' THEN 'm/vision' ELSE event_type END AS label,
+    SELECT c.event_id AS seq, CAST(c.user_id AS VARCHAR) AS timestamp, CASE WHEN event_type = 'signup' THEN 'vision' ELSE 'audit' END AS kind,
+           CASE WHEN event_type = 'signup' THEN 'm/vision' WHEN event_type = 'error' AND c.k % 2 = 1 THEN NULL WHEN event_type = 'error' THEN '' ELSE event_type END AS label,
+           'q' AS query, '' AS response, event_id * 3 AS latency_ms, CAST(NULL AS BIGINT) AS wrapper_elapsed_ms, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS template,
+           CASE WHEN c.k % 4 = 0 THEN c.k || ',7' ELSE '' END AS new_query_corpus_ids, '' AS matched_prior_corpus_ids, CAST(NULL AS BIGINT) AS injected_prior_count, CASE WHEN event_type = 'signup' THEN 'm/vision' END AS model,
+           CAST(NULL AS VARCHAR) AS state_dir, CASE WHEN event_type = 'signup' THEN 'a.png' ELSE '' END AS images, '' AS xlsx, CAST(m.k AS BIGINT) AS image_count, CAST(NULL AS BIGINT) AS xlsx_count,
            coalesce(nullif(CASE WHEN event_type = 'signup' THEN c.k + 1 WHEN c.k % 3 <> 0 THEN c.k ELSE 0 END, 0), nullif(m.k, 0), 0) AS tokens,
            coalesce(CASE WHEN c.k % 2 = 0 THEN c.value END, CASE WHEN m.k % 5 <> 0 THEN m.value END, CASE WHEN c.k % 7 = 0 THEN 0.5 END) AS cost_usd, m.k % 2 = 0 AS conclusion_changed, m.k % 3 AS exit_code
     FROM c LEFT JOIN m USING (user_id)""")
 def calls_normalized(spark, load):
     e = load("events")
-    return calls.load(_calls(e), _call_metrics(e)).select("seq", "timestamp", "kind", "label", "tokens", "cost_usd", "conclusion_changed", "exit_code")
+    listed = {c: F.array_join(c, ",") for c in ("new_query_corpus_ids", "matched_prior_corpus_ids", "images", "xlsx")}
+    return calls.load(_calls(e), _call_metrics(e)).withColumns(listed)
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 100 OFFSET 50")
@@ -152,10 +157,10 @@ def calls_page(spark, load):
     return calls.page(load("events").select("event_id", "user_id", "event_type", "value"), 100, 50, seq="event_id")
 
 
-@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id LIMIT 300")
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id")
 def calls_sorted_nulls_last(spark, load):
     joined = load("documents").select("doc_id").join(load("labels").select("doc_id", "quality"), "doc_id", "left")
-    return calls.sort(joined, "quality", descending=False, ties=("doc_id",)).limit(300)
+    return calls.sort(joined, "quality", descending=False, ties=("doc_id",))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'licens') OR contains(lower(source), 'licens')")
@@ -336,7 +341,7 @@ def outcome_histogram(spark, load):
     return evaluate.histogram(_judged(load))
 
 
-@query()
+@query("WITH coin(idx, candidate_slot) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in evaluate.swap_slots(range(5000))) + ") SELECT item_id AS idx, candidate_slot FROM benchmark JOIN coin ON coin.idx = item_id")
 def blind_swap(spark, load):
     ship(spark)
     return evaluate.with_slots(load("benchmark").select(F.col("item_id").alias("idx")))
@@ -406,20 +411,22 @@ def trim_sections(spark, load):
     return logs.select("conv_id", F.md5(documents.trim_turns("log")).alias("digest"))
 
 
-@query("SELECT item_id, 'All clear — board fully readable.' AS unread, '01 Situation: ' || replace(trim(text), chr(10), ' ') || ' | 02 Intent: hold' AS sections, '— Acknowledged. Out' AS ack FROM benchmark WHERE NOT contains(text, chr(10) || chr(10))")
+@query("""
+    SELECT item_id, 'All clear — board fully readable.' AS unread, '01 Situation: ' || array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n'),
+           lambda p: trim(p) <> ''), lambda p: replace(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), chr(10), ' ')), ' / ') || ' | 02 Intent: hold' AS sections, '— Acknowledged. Out' AS ack FROM benchmark""")
 def orders_parse(spark, load):
     md = F.concat(F.lit("lead\n## Situation\n\n"), F.col("text"), F.lit("\n\n## Intent\nhold\n— Acknowledged. Out\n"))
-    parsed = orders.parse(load("benchmark").where(~F.col("text").contains("\n\n")).withColumn("md", md))
+    parsed = orders.parse(load("benchmark").withColumn("md", md))
     one = F.array_join(F.transform("orders.sections", lambda s: F.concat(s["n"], F.lit(" "), s["title"], F.lit(": "), F.array_join(s["body"], " / "))), " | ")
     return parsed.select("item_id", "orders.unread", one.alias("sections"), "orders.ack")
 
 
 @query("""
-    WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id < 400), r AS (SELECT 'b' || (doc_id // 2) AS stem, doc_id % 2 = 1 AS digest, text FROM d WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
+    WITH r AS (SELECT CASE WHEN doc_id % 6 IN (1, 5) THEN 'x' || doc_id ELSE 'b' || (doc_id // 2) END AS stem, doc_id % 6 = 3 AS digest, text FROM documents)
     SELECT coalesce(s.stem || '.digest.md', b.stem || '.md') AS name, coalesce(s.text, b.text) AS text, b.stem || '.md' AS book FROM r b LEFT JOIN r s ON s.stem = b.stem AND s.digest WHERE NOT b.digest""")
 def prefer_digest(spark, load):
-    d = load("documents").where("doc_id < 400 AND (doc_id % 2 = 0 OR doc_id % 3 = 0)")
-    return documents.prefer_digest(d.select(F.concat(F.lit("b"), F.floor(F.col("doc_id") / 2).cast("string"), F.when(F.col("doc_id") % 2 == 1, ".digest.md").otherwise(".md")).alias("name"), "text"))
+    name = F.expr("CASE WHEN doc_id % 6 IN (1, 5) THEN 'x' || doc_id || '.md' ELSE 'b' || (doc_id div 2) || if(doc_id % 6 = 3, '.digest.md', '.md') END")
+    return documents.prefer_digest(load("documents").select(name.alias("name"), "text"))
 
 
 @query("SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'untitled') AS slug FROM part")
@@ -437,9 +444,9 @@ def turn_current_flag(spark, load):
     return campaign.with_current(load("events").select("user_id", F.col("event_id").alias("turn")), "user_id")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS slug, 'Campaign' AS name, round(1.5::DOUBLE + CAST(sum(CAST(value AS DECIMAL(28,8))) AS DOUBLE), 6) AS spend FROM events GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS slug, 'Campaign' AS name, round(1.5::DOUBLE + CAST(sum(round(CAST(value / 700 AS DECIMAL(28,8)), 6)) AS DOUBLE), 6) AS spend FROM events GROUP BY user_id")
 def spend_total(spark, load):
-    costs = load("events").select(F.col("user_id").cast("string").alias("slug"), F.col("value").alias("cost_usd"))
+    costs = load("events").select(F.col("user_id").cast("string").alias("slug"), (F.col("value") / 700).alias("cost_usd"))
     return campaign.add_spend(costs.select("slug").distinct().select("slug", F.lit("Campaign").alias("name"), F.lit(1.5).alias("spend")), costs).select("slug", "name", "spend")
 
 
@@ -483,15 +490,16 @@ def id_overlap(spark, load):
     return relevance.id_overlap(load("documents").select("doc_id", ids.alias("retrieved_corpus_ids")), [1, 2, 3]).select("doc_id", "shared")
 
 
-@query(f"SELECT role, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS skipped FROM (SELECT role, {_hits(MARKERS)} >= 2 AND length(text) >= 200 AS ok FROM conversations) GROUP BY role")
+@query(f"SELECT role, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS skipped, 0.25::DOUBLE * count(*) FILTER (ok AND turn % 2 = 0) AS cost_usd FROM (SELECT role, turn, {_hits(MARKERS)} >= 2 AND length(text) >= 200 AS ok FROM conversations) GROUP BY role")
 def generation_counts(spark, load):
-    rows = load("conversations").withColumn("keep", T.passes_quality("text", MARKERS))
-    return rows.groupBy("role").agg(F.count_if("keep").alias("written"), F.count_if(~F.col("keep")).alias("skipped"))
+    rows = load("conversations").withColumns({"keep": T.passes_quality("text", MARKERS), "cost_usd": F.when(F.col("turn") % 2 == 0, 0.25)})
+    return distill.generation_report(rows, "role")
 
 
-@query("SELECT event_id, CASE WHEN value < 0.01 THEN printf('$%.4f', value) ELSE printf('$%.3f', value) END AS cost, CASE WHEN event_id < 1000 THEN event_id || 'ms' ELSE NULL END AS latency FROM events")
+@query("""SELECT event_id, CASE WHEN value < 0.01 THEN printf('$%.4f', value) ELSE printf('$%.3f', value) END AS cost,
+    CASE WHEN event_id < 1000 THEN event_id || 'ms' ELSE ((event_id + 50) // 100) // 10 || '.' || ((event_id + 50) // 100) % 10 || 's' END AS latency FROM events""")
 def display_formats(spark, load):
-    return load("events").select("event_id", T.format_cost("value").alias("cost"), F.when(F.col("event_id") < 1000, T.format_latency("event_id")).alias("latency"))
+    return load("events").select("event_id", T.format_cost("value").alias("cost"), T.format_latency("event_id").alias("latency"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -10,17 +10,7 @@ from pyspark.sql import functions as F
 from calltide.functions.text import one_line
 from calltide.operators.evaluate import CONDITIONS, markdown_table
 from calltide.operators.relevance import rank
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write one small file through Hadoop, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+from calltide.sources.sinks import write_text
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:

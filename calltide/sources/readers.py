@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.functions.text import col, extension, stem, strip
+from calltide.functions.text import col, corpus_ids, extension, stem, strip
 
 IMAGE_MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp"}
 IMAGE_MOST_BYTES = 20 * 1024 * 1024
@@ -67,9 +67,14 @@ METRIC_FIELDS = {
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """Audit and vision rows of a call log under one schema, with cost_usd, usage_cost and seq."""
-    usage = F.try_variant_get("v", "$.usage.cost", "double").alias("usage_cost")
-    return read_jsonl(spark, path).select("seq", *(field(n, k) for n, k in CALL_FIELDS.items()), number_field("cost_usd"), usage)
+    """Audit and vision rows of a call log under one schema, with cost_usd, usage_cost, usage_total_cost, ``nulls`` and seq.
+
+    ``nulls`` lists the text fields that the line has as null, which a missing field is not.
+    """
+    usage = lambda name: F.try_variant_get("v", f"$.usage.{name}", "double").alias(f"usage_{name}")
+    is_null = lambda n: F.coalesce(F.is_variant_null(F.try_variant_get("v", f"$.{n}", "variant")), F.lit(False))
+    nulls = F.filter(F.array(*(F.when(is_null(n), n) for n in ("model", "template", "query", "response"))), lambda n: n.isNotNull()).alias("nulls")
+    return read_jsonl(spark, path).select("seq", *(field(n, k) for n, k in CALL_FIELDS.items()), number_field("cost_usd"), usage("cost"), usage("total_cost"), nulls)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -128,45 +133,74 @@ def images(found: DataFrame, most_bytes: int = IMAGE_MOST_BYTES) -> DataFrame:
     return found.select("path", F.when(error.isNull(), url).alias("url"), error.alias("error"))
 
 
+def with_size_flag(found: DataFrame, most_bytes: int = LARGE_BYTES) -> DataFrame:
+    """Files with ``large``: those that are better not read whole into a prompt."""
+    return found.withColumn("large", F.col("length") > most_bytes)
+
+
+def file_totals(found: DataFrame) -> DataFrame:
+    """One row: files, bytes, kb (rounded for each file) and tokens_est of (length) rows; zeros of none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return found.agg(F.count(F.lit(1)).alias("files"), total("length").alias("bytes"), total(F.floor(F.col("length") / 1024 + 0.5)).alias("kb"), total(F.floor(F.col("length") / 4)).alias("tokens_est"))
+
+
 def source_list(rules: DataFrame, references: DataFrame) -> DataFrame:
-    """Rule books (not digests) and then reference images, one schema: kind, name, size, tokens, digest."""
-    digest = rules.where(F.col("name").endswith(".digest.md")).select(F.regexp_replace(stem("name"), r"\.digest$", "").alias("book"), F.col("length").alias("digest_size_bytes"))
-    books = rules.where(~F.col("name").endswith(".digest.md")).withColumn("book", stem("name")).join(digest, "book", "left")
+    """Rule books (.md, not digests) and then reference images, one schema: kind, name, size, tokens, origin, digest.
+
+    ``source`` says whether a book's PDF lies beside it.
+    """
+    ends = lambda e: F.col("name").endswith(e)
+    digest = rules.where(ends(".digest.md")).select(F.regexp_replace(stem("name"), r"\.digest$", "").alias("book"), F.col("length").alias("digest_size_bytes"))
+    pdf = rules.where(ends(".pdf")).select(stem("name").alias("book"), F.lit(True).alias("pdf")).distinct()
+    books = rules.where(ends(".md") & ~ends(".digest.md")).withColumn("book", stem("name")).join(digest, "book", "left").join(pdf, "book", "left")
     first = books.select(
-        F.lit("rules").alias("kind"), "name", F.col("length").alias("size_bytes"), F.floor(F.col("length") / 4).alias("tokens_est"), F.col("digest_size_bytes").isNotNull().alias("has_digest"),
+        F.lit("rules").alias("kind"), "name", F.col("length").alias("size_bytes"), F.floor(F.col("length") / 4).alias("tokens_est"),
+        F.when(F.col("pdf"), "converted from pdf").otherwise("uploaded markdown").alias("source"), F.col("digest_size_bytes").isNotNull().alias("has_digest"),
         "digest_size_bytes", F.floor(F.col("digest_size_bytes") / 4).alias("digest_tokens_est"),
     )
     second = references.where(F.col("ext").isin(*IMAGE_MIME)).select(F.lit("reference").alias("kind"), "name", F.col("length").alias("size_bytes"), F.lit(None).cast("long").alias("tokens_est"), F.lit(False).alias("has_digest"))
     return first.unionByName(second, allowMissingColumns=True).orderBy(F.desc("kind"), "name")
 
 
-def sheets_to_markdown(name: str, sheets: list[tuple[str, list[list[object]]]]) -> str:
-    """Spreadsheet sheets (title, rows) as Markdown: the first row heads the table, cells fit its width."""
-    cell = lambda c: "" if c is None else str(c)
-    row = lambda cells: f"| {' | '.join(cells)} |"
-    out = [f"### {name}"]
-    for title, rows in sheets:
-        out.append(f"\n#### sheet: {title}\n")
-        if not rows:
-            out.append("_(empty)_")
-            continue
-        width = len(rows[0])
-        out += [row([cell(c) for c in rows[0]]), f"|{'|'.join(['---'] * width)}|"]
-        out += [row([cell(c) for c in [*r, *[None] * width][:width]]) for r in rows[1:]]
-    return "\n".join(out)
-
-
-def read_xlsx(path: str) -> str:
-    """A workbook as Markdown; needs the optional package openpyxl and a local file, as attachments are."""
+def sheet_markdown(cells: DataFrame) -> DataFrame:
+    """(workbook, markdown) of (workbook, sheet_no, sheet, row_no, cells array<string>), one row per sheet row.
+
+    The row of least number heads a sheet's table; other rows are cut or filled to its width, null cells are empty. A
+    sheet without rows stands with row_no null.
+    """
+    line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+    fitted = lambda row, width: F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(F.get(row, k), F.lit("")))
+    held = F.array_sort(F.collect_list(F.when(F.col("row_no").isNotNull(), F.struct("row_no", "cells"))))
+    sheets = cells.groupBy("workbook", "sheet_no", "sheet").agg(held.alias("rows")).withColumn("width", F.size(F.get("rows", F.lit(0))["cells"]))
+    lines_ = F.transform("rows", lambda r: F.when(F.col("width") > 0, line(fitted(r["cells"], F.col("width")))).otherwise("|  |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), F.greatest("width", F.lit(0))), "|"), F.lit("|"))
+    table = F.when(F.size("rows") == 0, "_(empty)_").otherwise(F.concat_ws("\n", F.get(lines_, F.lit(0)), rule, F.slice(lines_, F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))))
+    section = F.concat(F.lit("\n#### sheet: "), "sheet", F.lit("\n\n"), table)
+    joined = F.array_sort(F.collect_list(F.struct("sheet_no", section.alias("section"))))
+    return sheets.groupBy("workbook").agg(F.concat_ws("\n", F.concat(F.lit("### "), "workbook"), F.transform(joined, lambda x: x["section"])).alias("markdown"))
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a workbook as ``sheet_markdown`` takes them; needs the optional package openpyxl and a local file, as attachments are."""
     try:
-        import openpyxl
+        from openpyxl import load_workbook
     except ImportError as error:
         raise RuntimeError("reading .xlsx needs openpyxl") from error
-    book = openpyxl.load_workbook(path, data_only=True, read_only=True)
-    try:
-        return sheets_to_markdown(path.rsplit("/", 1)[-1], [(s.title, [list(r) for r in s.iter_rows(values_only=True)]) for s in book.worksheets])
-    finally:
-        book.close()
+    name, rows = path.rsplit("/", 1)[-1], []
+    for number, sheet in enumerate(load_workbook(path, data_only=True).worksheets):
+        held = [[None if c is None else str(c) for c in row] for row in sheet.iter_rows(values_only=True)]
+        rows += [(name, number, sheet.title, k, cells) for k, cells in enumerate(held)] or [(name, number, sheet.title, None, None)]
+    return spark.createDataFrame(rows, "workbook string, sheet_no int, sheet string, row_no int, cells array<string>")
+
+
+def scan_corpus_ids(rows: DataFrame, text: str, show_prompt: Callable[[str], dict]) -> DataFrame:
+    """``rows`` with ``ids`` of the corpus entries that a command would put into its prompt, and ``error``.
+
+    ``show_prompt`` runs the command on a text and returns {"output": …, "code": …}; another code than 0 is an error.
+    """
+    called = call_model(rows, text, show_prompt, "output string, code int")
+    failed = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("code", F.lit(0)) != 0, F.concat(F.lit("exit code "), F.col("code").cast("string")))
+    return called.withColumn("error", failed).withColumn("ids", F.when(F.col("error").isNull(), corpus_ids(F.coalesce("output", F.lit(""))))).drop("output", "code")
 
 
 def call_model(rows: DataFrame, text: str, fn: Callable[[str], dict], schema: str) -> DataFrame:

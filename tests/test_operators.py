@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from calltide.operators import calls, campaign, distill, documents, evaluate, gates, orders, relevance
 from calltide.sources import readers, sinks
 
+
 def now():
     return F.to_timestamp(F.lit("2026-05-08 00:00:00"))
 
@@ -17,13 +19,15 @@ def entries(spark, rows):
 
 
 def test_relevance_ranking(spark):
-    df = entries(spark, [("unrelated lorem words", "2026-05-07"), ("partial twar something", "2026-05-07"), ("exact twar dispatcher rebuild", "2026-05-07"), ("twar dispatcher rebuild", "2026-04-15"), ("twar", None)])
-    got = [r.query for r in relevance.top_entries(df, "twar dispatcher rebuild", now(), min_score=0.5, rare_below=1.01).collect()]
-    assert got == ["exact twar dispatcher rebuild", "partial twar something", "twar dispatcher rebuild"]
-    assert relevance.top_entries(df, "the plan", now(), min_score=0.0, rare_below=1.01).count() == 0
-    assert relevance.top_entries(df, "twar", now(), min_score=0.1).count() == 0  # of few entries no token is rare
-    same = entries(spark, [("twar dispatcher", "2026-05-08")] * 10)
-    assert [r.seq for r in relevance.top_entries(same, "twar dispatcher", now(), min_score=1.0, rare_below=1.01).collect()] == [0, 1, 2]
+    """Scores are shared tokens times what is left of 30 days: 2 * 28/30, 1 * 29/30, 3 * 6/30; the rest shares nothing or has no time."""
+    rows = [("apples pears plums", "2026-04-14"), ("violin cello", "2026-05-06"), ("apples pears", "2026-05-06"), ("plums violin", "2026-05-07"), ("apples pears plums", None), ("apples pears plums", "2026-03-01")]
+    df = entries(spark, rows)
+    got = [(r.seq, round(r.score, 6)) for r in relevance.top_entries(df, "Plums, apples and PEARS", now(), min_score=0.5, rare_below=1.01).collect()]
+    assert got == [(2, round(2 * 28 / 30, 6)), (3, round(29 / 30, 6)), (0, round(3 * 6 / 30, 6))]
+    assert relevance.top_entries(df, "which of the two", now(), min_score=0.0, rare_below=1.01).count() == 0  # stop words only
+    assert relevance.top_entries(df, "apples", now(), min_score=0.1).count() == 0  # of few entries no token is rare
+    same = entries(spark, [("violin cello", "2026-05-08")] * 7)
+    assert [r.seq for r in relevance.top_entries(same, "cello violin", now(), min_score=1.0, rare_below=1.01).collect()] == [0, 1, 2]
 
 
 def test_both_forms_of_relevance_agree(spark):
@@ -71,39 +75,42 @@ def test_gates(spark):
     assert gates.verdict(fine, zero, now()).first().ratio_status == "unknown"
 
 
-LOG = """{"timestamp":"2026-05-01T00:00:00Z","query":"q1","template":"audit","preamble_tokens":2765,"cost_usd":0.00817,"latency_ms":67012,"retrieved_corpus_ids":["01"]}
-not json
-
-{"timestamp":"2026-05-02T00:00:00Z","mode":"wargame-vision","query":"q2","model":"m","preamble_text_tokens":0,"usage":{"cost":0.005},"images":["a.png"],"cost_usd":null}
-{"timestamp":"2026-05-03T00:00:00Z","mode":"wargame-vision","model":"m","usage":{"cost":0.005}}
-{"query":"no time","cost_usd":"7"}
-"""
-METRICS = """{"timestamp":"2026-05-02T00:00:00Z","cost_usd":0.5,"exit_code":1}
-{"timestamp":"2026-05-02T00:00:00Z","cost_usd":0.032454,"exit_code":0,"preamble_tokens":40,"image_count":1}
-{"timestamp":"2026-05-01T00:00:00Z","conclusion_changed":true,"exit_code":0}
-{"conclusion_changed":"true","maintenance_hours":true}
-"""
+CALLS = [
+    {"timestamp": "2026-03-10T08:00:00Z", "query": "alpha", "template": "plan", "preamble_tokens": 12, "cost_usd": 0.5, "retrieved_corpus_ids": ["03"]},
+    {"timestamp": "2026-03-11T08:00:00Z", "mode": "wargame-vision", "query": "beta", "model": "v", "preamble_text_tokens": 0, "usage": {"cost": 2.0, "total_cost": 3.0}, "images": ["map.png"], "cost_usd": None},
+    {"timestamp": "2026-03-12T08:00:00Z", "mode": "wargame-vision", "model": None, "usage": {"cost": 2.0}},
+    {"query": None, "cost_usd": "4"},
+]
+CALL_METRICS = [
+    {"timestamp": "2026-03-11T08:00:00Z", "cost_usd": 9.0, "exit_code": 2},
+    {"timestamp": "2026-03-11T08:00:00Z", "cost_usd": 1.25, "exit_code": 0, "preamble_tokens": 33, "image_count": 1},
+    {"timestamp": "2026-03-10T08:00:00Z", "conclusion_changed": True, "exit_code": 0},
+    {"conclusion_changed": "true", "maintenance_hours": True},
+]
 
 
 def test_logs_end_to_end(spark, tmp_path):
-    (tmp_path / "calls.jsonl").write_text(LOG)
-    (tmp_path / "metrics.jsonl").write_text(METRICS)
+    (tmp_path / "calls.jsonl").write_text("".join(json.dumps(c) + x for c, x in zip(CALLS, ("\n{broken\n", "\n\n", "\n", "\n"), strict=True)))
+    (tmp_path / "metrics.jsonl").write_text("\n".join(map(json.dumps, CALL_METRICS)) + "\n")
     raw = readers.read_calls(spark, f"{tmp_path}/calls.jsonl")
-    rows = calls.load(raw, readers.read_metrics(spark, f"{tmp_path}/metrics.jsonl"))
+    measured = readers.read_metrics(spark, f"{tmp_path}/metrics.jsonl")
+    rows = calls.load(raw, measured)
     got = rows.orderBy("seq").collect()
     assert [(r.kind, r.label, r.tokens, r.cost_usd, r.exit_code, r.conclusion_changed) for r in got] == [
-        ("audit", "audit", 2765, 0.00817, 0, True), ("vision", "m", 40, 0.032454, 0, None), ("vision", "m", 0, 0.005, None, None), ("audit", "", 0, None, None, None)
+        ("audit", "plan", 12, 0.5, 0, True), ("vision", "v", 33, 1.25, 0, None), ("vision", None, 0, 2.0, None, None), ("audit", "", 0, None, None, None)
     ]
-    assert got[1].images == ["a.png"] and got[0].images == []
-    assert [r.query for r in calls.page(rows, 2, 1).collect()] == ["", "q2"]
-    assert [r.timestamp for r in calls.load_page(raw, readers.read_metrics(spark, f"{tmp_path}/metrics.jsonl"), 2).collect()] == [None, "2026-05-03T00:00:00Z"]
-    assert calls.search(rows, "Q1").count() == 1 and calls.search(rows, " ").count() == 4
-    assert calls.lookup(rows, "2026-05-01T00:00:00Z").first()["query"] == "q1" and calls.lookup(rows, "x").count() == 0
-    assert [r.cost_usd for r in calls.sort(rows, "cost_usd", False).collect()] == [0.005, 0.00817, 0.032454, None]
-    assert [r.maintenance_hours for r in readers.read_metrics(spark, f"{tmp_path}/metrics.jsonl").orderBy("seq").collect()] == [None, None, None, 1.0]
+    assert [r.query for r in got] == ["alpha", "beta", "", None] and {r.response for r in got} == {""}  # null in the log stays null, missing is empty
+    assert [r.usage_total_cost for r in raw.orderBy("seq").collect()] == [None, 3.0, None, None]
+    assert got[1].images == ["map.png"] and got[0].images == []
+    assert [r.query for r in calls.page(rows, 2, 1).collect()] == ["", "beta"]
+    assert [r.timestamp for r in calls.load_page(raw, measured, 2).collect()] == [None, "2026-03-12T08:00:00Z"]
+    assert calls.search(rows, "ALPHA").count() == 1 and calls.search(rows, " ").count() == 4
+    assert calls.lookup(rows, "2026-03-10T08:00:00Z").first()["query"] == "alpha" and calls.lookup(rows, "x").count() == 0
+    assert [r.cost_usd for r in calls.sort(rows, "cost_usd", False).collect()] == [0.5, 1.25, 2.0, None] and [r.cost_usd for r in calls.sort(rows, "cost_usd").collect()] == [2.0, 1.25, 0.5, None]
+    assert [r.maintenance_hours for r in measured.orderBy("seq").collect()] == [None, None, None, 1.0]
     assert readers.read_jsonl(spark, f"{tmp_path}/missing.jsonl").count() == 0
     both = calls.union_logs(rows.select("seq", "query"), rows.select("seq", "label"))
-    assert both.count() == 8 and both.orderBy("seq").first()["query"] == "q1"
+    assert both.count() == 8 and both.orderBy("seq").first()["query"] == "alpha"
 
 
 def test_flag_update_and_appends(spark, tmp_path):
@@ -116,6 +123,62 @@ def test_flag_update_and_appends(spark, tmp_path):
         sinks.update_flag(spark, path, "nope", True)
     got = {(r.timestamp, r.note): r.conclusion_changed for r in spark.read.json(path).collect()}
     assert got == {("a", "é"): True, ("a", "x"): True, ("b", "y"): False, ("c", "z"): None}
+    nested = {"timestamp": "n", "inner": {"conclusion_changed": False, "big": 12345678901234567890, "s": "\"q\" \\ é"}, "note": 'says "conclusion_changed": true'}
+    sinks.overwrite_jsonl(spark.createDataFrame([("m", "1")], "timestamp string, note string"), path)
+    spark.createDataFrame([(json.dumps(nested),), ("broken",)], "value string").write.mode("append").text(path)
+    assert sinks.update_flag(spark, path, "n", True) == 1
+    lines = {json.loads(r.value)["timestamp"]: json.loads(r.value) for r in spark.read.text(path).collect()}
+    assert lines == {"m": {"timestamp": "m", "note": "1"}, "n": nested | {"conclusion_changed": True}}
+
+
+def test_a_failed_swap_keeps_the_rows(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.append_jsonl(spark.createDataFrame([("a",)], "timestamp string"), path)
+    with pytest.raises(OSError, match="unchanged"):
+        sinks._swap(spark, f"{tmp_path}/not-there", path)
+    assert spark.read.json(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_sources_can_be_deleted_and_turn_logs_grow(spark, tmp_path):
+    for name in ("rules/book.md", "rules/book.pdf", "rules/book.digest.md", "reference/map.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = readers.files(spark, str(tmp_path / "rules"))
+    assert [(r.name, r.source) for r in readers.source_list(found, found).collect()] == [("book.md", "converted from pdf")]
+    assert sinks.delete_source(spark, str(tmp_path), "rules", "book.md") == ["book.md", "book.pdf"]
+    assert sinks.delete_source(spark, str(tmp_path), "reference", "map.png") == ["map.png"]
+    assert (tmp_path / "rules" / "book.digest.md").exists()
+    for kind, name, error in (("rules", "book.md", FileNotFoundError), ("rules", "../x", ValueError), ("other", "x", ValueError), ("rules", " ", ValueError)):
+        with pytest.raises(error):
+            sinks.delete_source(spark, str(tmp_path), kind, name)
+    log = tmp_path / "turn-log.md"
+    sinks.append_narrative(spark, str(log), "\n## Turn 1\n")
+    sinks.append_narrative(spark, str(log), "\n## Turn 2\n")
+    assert log.read_text() == "# Turn log\n\n---\n\n## Turn 1\n\n## Turn 2\n"
+
+
+def test_scans_with_an_injected_command(spark):
+    rows = spark.createDataFrame([(1, "ok"), (2, "fails"), (3, "raises")], "id int, query string")
+
+    def show_prompt(text):
+        if text == "raises":
+            raise OSError("gone")
+        return {"output": "## Reference: corpus #12\n## Reference: corpus #3\n## Reference: corpus #12", "code": int(text == "fails")}
+
+    got = {r.id: (r.ids, r.error) for r in readers.scan_corpus_ids(rows, "query", show_prompt).collect()}
+    assert got == {1: ([3, 12], None), 2: (None, "exit code 1"), 3: (None, "OSError: gone")}
+
+
+def test_checks_that_fail_a_query(spark):
+    from calltide.functions import text as T
+
+    df = spark.createDataFrame([(10,), (11,)], "n long")
+    assert [r.n for r in df.where("n = 10").select(T.within_cap("n", 10).alias("n")).collect()] == [10]
+    with pytest.raises(Exception, match="token cap exceeded"):
+        df.select(T.within_cap("n", 10).alias("n")).collect()
+    with pytest.raises(Exception, match="system prompt not found"):
+        df.select(T.system_prompt(F.lit(None).cast("string"), F.lit("x"))).collect()
+    assert documents.indented_json('{"b":1,"a":[]}') == '{\n  "b": 1,\n  "a": []\n}' and documents.indented_json("{") is None and documents.indented_json(None) is None
 
 
 def test_files_and_campaigns(spark, tmp_path):
@@ -139,7 +202,12 @@ def test_files_and_campaigns(spark, tmp_path):
     assert readers.read_json_document(spark, str(tmp_path / "nope.json"), 5) == 5 and readers.read_json_document(spark, str(tmp_path / "alpha" / "book.md"), {}) == {}
     assert readers.resolve_state_dir(spark, str(tmp_path / "gone"), "alpha", str(tmp_path), "x") is None
     assert readers.resolve_state_dir(spark, None, "alpha", str(tmp_path), "x").endswith("alpha")
-    assert readers.sheets_to_markdown("b.xlsx", [("s", [["a", None], [1], [1, 2, 3]]), ("e", [])]) == "### b.xlsx\n\n#### sheet: s\n\n| a |  |\n|---|---|\n| 1 |  |\n| 1 | 2 |\n\n#### sheet: e\n\n_(empty)_"
+
+
+def test_sheets(spark):
+    cells = [("b.xlsx", 0, "s", 0, ["a", None]), ("b.xlsx", 0, "s", 1, ["1"]), ("b.xlsx", 0, "s", 2, ["1", "2", "3"]), ("b.xlsx", 1, "e", None, None)]
+    df = spark.createDataFrame(cells, "workbook string, sheet_no int, sheet string, row_no int, cells array<string>")
+    assert readers.sheet_markdown(df).first().markdown == "### b.xlsx\n\n#### sheet: s\n\n| a |  |\n|---|---|\n| 1 |  |\n| 1 | 2 |\n\n#### sheet: e\n\n_(empty)_"
 
 
 def test_injected_models(spark):
@@ -197,6 +265,9 @@ def test_documents(spark):
     md = "\n".join(["# Rules", block.format("6.1 Moving"), block.format("6.1.2 Roads"), block.format("7.0 Combat"), block.format("just text"), "ACME GAMES", "keep", "ACME GAMES", "Page 7", "12", "ACME GAMES", "1234", "**==> picture [1 x 2] intentionally omitted <==**", "ACME GAMES", *["- item"] * 5, *["thrice"] * 3, "x" * 61, "x" * 61, "x" * 61, "x" * 61, "", "", "", "", "end", ""])
     got = spark.createDataFrame([(md,)], "md string").select(documents.clean_markdown("md").alias("r")).first().r
     assert got.startswith("# Rules\n### 6.1 Moving\n") and "#### 6.1.2 Roads\n" in got and "## 7.0 Combat\n" in got and "**just text**" in got
+    sections = ("6.1a Movement", "10.5a Note", "1.2.3a", "12a", "1.2.3.4.5 Deep", "1.10a Foo")
+    shown = spark.createDataFrame([("x" + "".join(block.format(x) for x in sections),)], "md string").select(documents.promote_picture_text("md").alias("r")).first().r
+    assert shown == "x### 6.1a Movement\n\n### 10.5a Note\n\n### 1.2.3a\n\n**12a**\n\n### 1.2.3.4.5 Deep\n\n### 1.10a Foo\n\n"
     assert "ACME" not in got and "Page 7" not in got and "\n12\n" not in got and "1234" in got and "omitted" not in got
     assert got.count("- item") == 5 and got.count("thrice") == 3 and got.count("x" * 61) == 4 and "\n\n\n" not in got and got.endswith("end\n")
     log = "# Log\n\n" + "".join(f"## Turn {k}\ntext {k}\n\n" for k in (5, 4, 3, 2, 1))
@@ -245,6 +316,8 @@ def test_campaigns(spark):
     issued = campaign.issue_turn(turns, spark.createDataFrame([("red-wave", None, "b/m3")], "slug string, turn int, model string")).orderBy("turn").collect()
     assert [(r.turn, r.current) for r in issued] == [(1, False), (2, False), (3, True)] and issued[2].model == "m3"
     assert campaign.add_spend(c, spark.createDataFrame([("red-wave", 0.1), ("red-wave", None)], "slug string, cost_usd double")).first().spend == 1.1
+    many = spark.createDataFrame([("red-wave", 0.0000004)] * 5 + [("red-wave", 0.0000016)], "slug string, cost_usd double")
+    assert campaign.add_spend(c, many).first().spend == 1.000002  # each call is rounded to six places
     tasks = spark.createDataFrame([([("u1", 3)], [("u2", 4)])], "blue array<struct<name string, strength int>>, red array<struct<name string, strength int>>")
     assert [(r.side, r.name) for r in campaign.units(tasks).collect()] == [("blue", "u1"), ("red", "u2")]
     routed = {r.name: r.route for r in sinks.route_uploads(spark.createDataFrame([("a.PDF", 1), ("b.md", 1), ("c.png", 21 << 20), ("d.png", 1), ("e.zip", 1)], "name string, length long")).collect()}
