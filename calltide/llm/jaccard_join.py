@@ -22,7 +22,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm.common import SHINGLE_WORDS, SIMILARITY, bound_batches, drop_table, materialize
@@ -164,20 +164,30 @@ def _children(level: DataFrame, threshold: float, first: bool) -> DataFrame:
 
 
 def _close_stars(sketches: np.ndarray, sizes: np.ndarray, threshold: float, cross: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y) local links that join what sketches call close; with ``cross`` only links between [:cross] and [cross:]."""
+    """(x, y) local links that join what sketches call close; with ``cross`` only links between [:cross] and [cross:].
+
+    Every link makes two groups one, so there are fewer links than rows. With ``cross`` the groups within either part
+    are made first, without links, as the pairs of one block give those.
+    """
     m = len(sizes)
     root = np.arange(m)
     xs, ys = [], []
-    for i in range(m if cross is None else cross):
-        lo = i + 1 if cross is None else cross
-        near = np.flatnonzero((np.minimum(sizes[lo:], sizes[i]) >= threshold * np.maximum(sizes[lo:], sizes[i])) & (root[lo:] != root[i])) + lo
-        if len(near):
-            close = near[(sketches[near] == sketches[i]).mean(axis=1) >= threshold - SKETCH_MARGIN]
-            if len(close):
-                xs.append(np.full(len(close), i))
-                ys.append(close)
-                merged = np.unique(root[close])
-                root[np.isin(root, merged)] = root[i]
+
+    def star(i: int, lo: int, hi: int, linked: bool) -> None:
+        fits = np.minimum(sizes[lo:hi], sizes[i]) >= threshold * np.maximum(sizes[lo:hi], sizes[i])
+        near = np.flatnonzero(fits & (root[lo:hi] != root[i])) + lo
+        close = near[(sketches[near] == sketches[i]).mean(axis=1) >= threshold - SKETCH_MARGIN] if len(near) else near
+        if len(close):
+            merged, at = np.unique(root[close], return_index=True)
+            root[np.isin(root, merged)] = root[i]
+            if linked:
+                xs.append(np.full(len(at), i))
+                ys.append(close[at])
+
+    for i in range(m):
+        star(i, i + 1, m if cross is None or i >= cross else cross, linked=cross is None)
+    for i in range(cross or 0):
+        star(i, cross, m, linked=True)
     none = np.zeros(0, np.int64)
     return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
 
@@ -226,8 +236,10 @@ def candidate_links(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     """Links (a, b) between classes (class, n, signature) that join all whose sketches are close; the recursion on buckets."""
     level, parts, written = _children(classes.select("class", "n", "signature"), threshold, first=True), [], []
     for depth in range(FIRST_DEPTH, DEPTH + 1):
-        members = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        shared = materialize(level.withColumn("members", members).where("members > 1"))
+        level = materialize(level)
+        members = level.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        shared = materialize(level.join(members, "key").select("class", "n", "key", "members"))
+        drop_table(level)
         written.append(shared)
         parts.append(shared if depth == DEPTH else shared.where(F.col("members") <= LEAF))
         deeper = shared.where(F.col("members") > LEAF)
@@ -354,18 +366,21 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The documents with their own columns, of each class the one with the least id; rows without words all stay.
+    """The documents with their own columns, whatever those are called, of each class the ones with the least id.
 
-    Of rows that repeat id and text one stays.
+    Rows without words all stay, and a null id counts as -1. Of rows that repeat id and text one stays; rows that share
+    the least id but not the text are different documents of one name and all stay.
     """
     linked = materialize(link(docs, doc_id, text, threshold))
-    own = F.coalesce(docs[doc_id].cast("long"), F.lit(-1))
+    columns = docs.columns
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)).alias("__own"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
     keep = linked.where(F.col("class_id") == F.coalesce("doc_id", F.lit(-1))).groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("links"))
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    repeated = keep.where("rows > 1 AND links > 0").select("class_id")
-    kept = docs.join(small(keep.select("class_id")), own == F.col("class_id"), "left_semi")
+    repeated = materialize(keep.where("rows > 1 AND links > 0").select("class_id"))
+    kept = inner.join(small(keep.select("class_id")), F.col("__own") == F.col("class_id"), "left_semi")
+    out = lambda df: df.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(columns)))
     if repeated.isEmpty():
-        return kept
+        return out(kept)
     again = small(repeated)
-    one = kept.join(again, own == F.col("class_id"), "left_semi").withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).drop("__h")
-    return kept.join(again, own == F.col("class_id"), "left_anti").unionByName(one)
+    one = kept.join(again, F.col("__own") == F.col("class_id"), "left_semi").dropDuplicates(["__own", "__h"])
+    return out(kept.join(again, F.col("__own") == F.col("class_id"), "left_anti").unionByName(one))
