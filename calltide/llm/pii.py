@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (email, ip, card, phone) always keep their confirmed spans. Further kinds (iban, ssn) are reported when their
-score, a prior plus what context words within ``CONTEXT`` characters add, reaches ``THRESHOLD``. All patterns are
+score, a prior plus what context words within ``CONTEXT`` characters add, reaches ``THRESHOLD``. Context only raises a
+score: an account that mod-97 confirms needs none, a social security number, which has no check digit, does. All patterns are
 possessive or anchored, so that a text of a million equal characters costs time in proportion to its length.
 """
 
@@ -92,26 +93,39 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Confirmed accounts, each as long as its country says; of an unknown country the longest that ends with a token.
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Confirmed accounts in their order, each as long as its country says; of an unknown country the longest that ends with a token.
 
-    What follows an account, or does not confirm, is looked at again; a start reads at most 64 characters: linear.
+    Accounts of known countries come first, and others only between them, since these try many ends. What follows an
+    account, or does not confirm, is looked at again; a start reads at most 64 characters: linear.
     """
-    free = 0
+    found: list[tuple[int, int]] = []
+    others = []
+
+    def confirmed(places: list[int], n: int) -> bool:
+        after = text[places[n - 1] + 1 : places[n - 1] + 2]
+        return not (after.isascii() and after.isalnum()) and mod97("".join(text[k] for k in places[:n]))
+
     for m in _IBAN.finditer(text):
-        rest = _IBAN_REST.match(text, m.end()) if m.start() >= free else None
+        rest = _IBAN_REST.match(text, m.end())
         if not rest:
             continue
         places = [k for k in range(m.start(), rest.end()) if text[k] != " "]
         known = IBAN_LENGTHS.get(m[0][:2])
-        for n in (known,) if known else range(len(places), 14, -1):
-            if n > len(places):
-                continue
-            end = places[n - 1] + 1
-            if not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97("".join(text[k] for k in places[:n])):
-                free = end
-                yield m.start(), end
-                break
+        if not known:
+            others.append(places)
+        elif m.start() >= (found[-1][1] if found else 0) and known <= len(places) and confirmed(places, known):
+            found.append((m.start(), places[known - 1] + 1))
+    out, k = [], 0
+    for places in others:
+        while k < len(found) and found[k][0] <= places[0]:
+            out.append(found[k])
+            k += 1
+        if places[0] >= (out[-1][1] if out else 0):
+            end = next((n for n in range(len(places), 14, -1) if (k == len(found) or places[n - 1] < found[k][0]) and confirmed(places, n)), 0)
+            if end:
+                out.append((places[0], places[end - 1] + 1))
+    return out + found[k:]
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:

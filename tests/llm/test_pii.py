@@ -57,6 +57,54 @@ def test_confirmed_kinds_and_context():
     assert pii.redact("mail a@b.co now") == "mail [email] now"
 
 
+def plain_account(country: str, n: int, rng: random.Random) -> str:
+    """A valid account of n characters: the check digits that bring the number to 1 modulo 97."""
+    own = "".join(rng.choice("0123456789ABZ") for _ in range(n - 4))
+    number = lambda text: int("".join(str(int(c, 36)) for c in text))
+    return f"{country}{98 - number(own + country + '00') % 97:02d}{own}"
+
+
+def test_accounts_against_every_start_and_end():
+    """The first start, from the left, at which a country's length gives a valid account that no letter or digit follows."""
+    rng = random.Random(8)
+    number = lambda text: int("".join(str(int(c, 36)) for c in text))
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            country = rng.choice(["DE", "GB", "NO", "FR"])
+            account = plain_account(country, pii.IBAN_LENGTHS[country], rng)
+            if rng.random() < 0.3:
+                account = account[:4] + rng.choice("01234") + account[5:]  # most of these fail the check
+            if rng.random() < 0.5:
+                account = " ".join(account[k : k + 4] for k in range(0, len(account), 4))
+            parts += [rng.choice(["pay", "TO", "12", "x1"]), account]
+        text = rng.choice([" ", ", ", "\n"]).join([*parts, "end"])
+        want, free = [], 0
+        for start in range(len(text)):
+            known = pii.IBAN_LENGTHS.get(text[start : start + 2])
+            if start < free or not known or not text[start + 2 : start + 4].isdigit() or (start and text[start - 1].isalnum()):
+                continue
+            for end in range(start + known, min(len(text), start + 2 * known) + 1):
+                own = text[start:end].replace(" ", "")
+                if len(own) == known and own.isalnum() and own.upper() == own and "  " not in text[start:end] and not text[end - 1].isspace():
+                    if not text[end : end + 1].isalnum() and number(own[4:] + own[:4]) % 97 == 1:
+                        want.append((start, end))
+                        free = end
+                    break
+        assert [a for a in pii.ibans(text) if text[a[0] : a[0] + 2] in pii.IBAN_LENGTHS] == want, text
+
+
+def test_social_security_numbers_against_the_plain_pattern():
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "ssn " + "".join(rng.choice("0123456789-- ") for _ in range(rng.randint(0, 40)))
+        want = [
+            m.span() for m in re.finditer(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])", text)
+            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" and m.start() <= 40
+        ]
+        assert [(s.start, s.end) for s in pii.scan(text) if s.kind == "ssn" and s.start <= 40] == want
+
+
 def test_time_is_linear_on_long_texts():
     for text in ("a" * 1_000_000 + "@", "1" * 1_000_000, "1." * 500_000, "+1" + " 1" * 500_000, "A" * 1_000_000, "@" * 500_000):
         pii.scan(text)
