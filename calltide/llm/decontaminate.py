@@ -5,8 +5,9 @@ word shingles there, so the window's rarest shingle is a sufficient prefix: the
 one that occurs least often in the corpus (counted over all documents). Documents are scanned for those shingles; a
 match's position and the document's length bound where the window could lie, and the words are then compared.
 
-The index is broadcast block by block: benchmark texts of at most ``BLOCK_BYTES`` at a time, so its size does not
-depend on the benchmark. Documents are never shuffled with their texts.
+The benchmark is hashed to words on the executors, in parts of at most ``PART_WORDS`` words, so an item of any length is
+never whole anywhere. The index, flat arrays of some 21 bytes a word, is broadcast block by block, each of about
+``BLOCK_WORDS`` words, so its size does not depend on the benchmark. Documents are never shuffled with their texts.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import bound_batches
+from calltide.llm.common import bound_batches, drop_table, materialize
 from calltide.llm.textvec import U64, ascii_lower_words, mix, slices, span_hashes, utf8
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20
+#: Words of the parts that items are cut into, and of a block of parts: an index of about 60 MB.
+PART_WORDS = 100_000
+BLOCK_WORDS = 3_000_000
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,120 +45,173 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of benchmark items, equal ones once, grouped by length; ``items`` lists the item ids of each."""
-
-    def __init__(self, ids: list[str], texts: list[str], window: int):
-        words, first = _words(texts)
-        self.words: list[np.ndarray] = []
-        self.items: list[list[str]] = []
-        seen: dict[bytes, int] = {}
-        for k, item in enumerate(ids):
-            own = words[first[k] : first[k + 1]]
-            length = min(window, len(own))
-            for a in range(len(own) - length + 1 if length else 0):
-                part = own[a : a + length]
-                at = seen.setdefault(part.tobytes(), len(seen))
-                if at == len(self.words):
-                    self.words.append(part)
-                    self.items.append([])
-                if item not in self.items[at][-1:]:
-                    self.items[at].append(item)
-
-    def shingles(self) -> list[tuple[int, np.ndarray]]:
-        """(words of a shingle, hash of each shingle) of each window."""
-        return [(n := min(SHINGLE, len(w)), _shingles(w, n)) for w in self.words]
+    """The windows of a block of benchmark parts, in flat arrays: the parts' words end to end, and where each window starts.
+
+    A part of fewer words than a window is one window; longer items come in parts that overlap by a window less one word.
+    """
+
+    def __init__(self, ids: list[str | None], parts: list[np.ndarray], window: int):
+        self.window = window
+        self.names = sorted(set(ids), key=lambda i: (i is not None, i))
+        number = {name: k for k, name in enumerate(self.names)}
+        self.item = np.array([number[i] for i in ids], np.int32)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, U64)
+        self.first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        self.length = np.minimum(np.diff(self.first), window)
+        windows = np.where(self.length > 0, np.diff(self.first) - self.length + 1, 0)
+        before = np.cumsum(windows) - windows
+        part = np.repeat(np.arange(len(parts)), windows)
+        self.start = self.first[:-1][part] + np.arange(len(part)) - before[part]
+        self.part = part
+
+    def shingle_sizes(self) -> np.ndarray:
+        """The words of a shingle of each window."""
+        return np.minimum(SHINGLE, self.length[self.part])
+
+    def shingles(self) -> dict[int, np.ndarray]:
+        """The distinct shingle hashes of the windows, sorted, by words of a shingle."""
+        out, size = {}, np.diff(self.first)
+        for n in np.unique(np.minimum(SHINGLE, size[size > 0])).tolist():
+            own = np.flatnonzero(np.minimum(SHINGLE, size) == n)
+            times = size[own] - n + 1
+            places = np.repeat(self.first[own] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            out[n] = np.unique(_shingles(self.words, n)[places])
+        return out
 
 
 class Index:
-    """Sorted prefix shingles of each shingle length, with the windows that have them and their place in the window."""
-
-    def __init__(self, windows: Windows, counts: dict[int, int]):
-        self.windows = windows
-        by_n: dict[int, list[tuple[int, int, int]]] = {}
-        for k, (n, hashes) in enumerate(windows.shingles()):
-            place = min(range(len(hashes)), key=lambda p: (counts.get(int(hashes[p]), 0), int(hashes[p])))
-            by_n.setdefault(n, []).append((int(hashes[place]), k, place))
+    """The prefix shingle of each window, sorted by shingle length: key, where the window starts, and the shingle's place in it."""
+
+    def __init__(self, windows: Windows, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """``counts``: sorted shingles of each length with how often the corpus has them."""
+        self.words, self.first, self.window = windows.words, windows.first, windows.window
+        self.item, self.names = windows.item, windows.names
         self.tables = {}
-        for n, entries in by_n.items():
-            entries.sort()
-            self.tables[n] = (np.array([e[0] for e in entries], U64), np.array([e[1] for e in entries]), np.array([e[2] for e in entries]))
+        sizes, lengths = windows.shingle_sizes(), windows.length[windows.part]
+        for n, (keys, times) in counts.items():
+            hashes = _shingles(windows.words, n)
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            order = np.lexsort((keys, times))
+            rank_of = np.empty(len(keys), np.int64)
+            rank_of[order] = np.arange(len(keys))
+            rank = np.where(keys[at] == hashes, rank_of[at], len(keys))
+            starts, places = [], []
+            for length in np.unique(lengths[sizes == n]).tolist():
+                own = windows.start[(sizes == n) & (lengths == length)]
+                views = np.lib.stride_tricks.sliding_window_view(rank, length - n + 1)
+                for a in range(0, len(own), 1 << 18):
+                    starts.append(own[a : a + (1 << 18)])
+                    places.append(views[own[a : a + (1 << 18)]].argmin(axis=1))
+            start, place = np.concatenate(starts), np.concatenate(places)
+            key = hashes[start + place]
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = (key[order], start[order].astype(np.uint32), place[order].astype(np.uint8), _bits(key))
 
     def occurrences(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, window) of every occurrence in the concatenated words, inside one document each."""
+        """(start, end, number of the item) of every occurrence in the concatenated words, inside one document each."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        lengths = np.array([len(w) for w in self.windows.words])
-        for n, (keys, window, place) in self.tables.items():
+        for n, (keys, start, place, bits) in self.tables.items():
             shingles = _shingles(words, n)
-            if not len(shingles):
-                continue
-            at = np.flatnonzero(_member(shingles, keys))
+            at = np.flatnonzero(_member(shingles, keys, bits))
             lo, hi = np.searchsorted(keys, shingles[at], "left"), np.searchsorted(keys, shingles[at], "right")
             times = hi - lo
-            for a, b in slices(times, 1 << 20):
+            for a, b in slices(times, 1 << 18):
                 entry = np.repeat(lo[a:b] - np.cumsum(times[a:b]) + times[a:b], times[a:b]) + np.arange(int(times[a:b].sum()))
-                begin = np.repeat(at[a:b], times[a:b]) - place[entry]
-                which = window[entry]
-                end = begin + lengths[which]
+                begin, there = np.repeat(at[a:b], times[a:b]) - place[entry], start[entry].astype(np.int64)
+                part = np.searchsorted(self.first, there, side="right") - 1
+                length = np.minimum(self.first[part + 1] - self.first[part], self.window)
                 doc = np.searchsorted(first, np.repeat(at[a:b], times[a:b]), side="right") - 1
-                fits = (begin >= first[doc]) & (end <= first[doc + 1])
-                begin, end, which = begin[fits], end[fits], which[fits]
-                for length in np.unique(lengths[which]) if len(which) else []:
-                    own = np.flatnonzero(lengths[which] == length)
-                    for c in range(0, len(own), 1 << 16):
-                        part = own[c : c + (1 << 16)]
-                        wanted = np.array([self.windows.words[w] for w in which[part]]).reshape(len(part), length)
-                        equal = (words[begin[part][:, None] + np.arange(length)] == wanted).all(axis=1)
-                        found.append((begin[part][equal], end[part][equal], which[part][equal]))
+                fits = np.flatnonzero((begin >= first[doc]) & (begin + length <= first[doc + 1]))
+                for size in np.unique(length[fits]).tolist():
+                    own = fits[length[fits] == size]
+                    span = np.arange(size)
+                    equal = own[(words[begin[own][:, None] + span] == self.words[there[own][:, None] + span]).all(axis=1)]
+                    found.append((begin[equal], begin[equal] + size, self.item[part[equal]].astype(np.int64)))
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each value is among the sorted keys: a bit table of the low bits first, then the exact comparison."""
-    bits = 20
-    table = np.zeros(1 << bits, bool)
-    table[(keys & U64((1 << bits) - 1)).astype(np.int64)] = True
-    maybe = np.flatnonzero(table[(values & U64((1 << bits) - 1)).astype(np.int64)])
+_BITS = 22
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """A table of the low bits that occur among the keys."""
+    table = np.zeros(1 << _BITS, bool)
+    table[(keys & U64((1 << _BITS) - 1)).astype(np.int64)] = True
+    return table
+
+
+def _member(values: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted keys: the table of low bits first, then the exact comparison."""
+    maybe = np.flatnonzero(bits[(values & U64((1 << _BITS) - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
     out = np.zeros(len(values), bool)
     out[maybe[keys[at] == values[maybe]]] = True
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list[str], list[str]]]:
-    """Benchmark ids and texts, at most about BLOCK_BYTES at a time, one item whole if longer; items without a word don't matter."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-total // BLOCK_BYTES))
+def _parts(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(item, n, words binary): the word hashes of every item in parts that hold each window once; no words, no part."""
+    size = PART_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = _words([value or ""])[0]
+                windows = max(1, len(words) - window + 1) if len(words) else 0
+                parts = [words[a : min(a + size, windows) + window - 1] for a in range(0, windows, size)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["item", "n", "words"])
+
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(run, "item string, n long, words binary")
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[Windows]:
+    """The windows of the benchmark, about BLOCK_WORDS words at a time."""
+    parts = _parts(benchmark, item, text, window)
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    blocks = -(-total // BLOCK_WORDS)
+    parts = materialize(parts) if blocks > 1 else parts
     for k in range(blocks):
-        got = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        yield [r.item for r in got], [r.text for r in got]
+        got = parts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).select("item", "words").toArrow()
+        ids, held = got.column("item").to_pylist(), got.column("words").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], held[i]))
+        yield Windows([ids[i] for i in order], [np.frombuffer(held[i], U64) for i in order], window)
+    if blocks > 1:
+        drop_table(parts)
 
 
-def _count(docs: DataFrame, windows: Windows) -> dict[int, int]:
-    """How often each shingle of the windows occurs in the corpus."""
-    wanted: dict[int, np.ndarray] = {}
-    for n in {n for n, _ in windows.shingles()}:
-        wanted[n] = np.unique(np.concatenate([h for m, h in windows.shingles() if m == n]))
+def _count(docs: DataFrame, windows: Windows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The shingles of the windows by their length, sorted, and how often each occurs in the corpus."""
+    wanted = windows.shingles()
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {n: np.zeros(len(keys), np.int64) for n, keys in shared.value.items()}
+        bits = {n: _bits(keys) for n, keys in shared.value.items()}
         for batch in batches:
             for words, first in _batch_words(batch):
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for n, keys in shared.value.items():
                     shingles = _shingles(words, n)
-                    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                     inside = doc[: len(shingles)] == doc[n - 1 :]
-                    hit = shingles[inside & _member(shingles, keys)]
+                    hit = shingles[inside & _member(shingles, keys, bits[n])]
                     counts[n] += np.bincount(np.searchsorted(keys, hit), minlength=len(keys))
         for n, held in counts.items():
             at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][at].view(np.int64), pa.int64()), pa.array(held[at], pa.int64())], ["shingle", "n"])
-
-    got = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in got}
+            for a in range(0, len(at), 1 << 16):
+                some = at[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n), pa.int32()), pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], ["size", "place", "n"])
+
+    got = docs.mapInArrow(run, "size int, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow()
+    sizes, places, times = (got.column(c).to_numpy() for c in ("size", "place", "n"))
+    out = {}
+    for n, keys in wanted.items():
+        own = np.zeros(len(keys), np.int64)
+        own[places[sizes == n]] = times[sizes == n]
+        out[n] = (keys, own)
+    return out
 
 
 def _batch_words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,16 +244,16 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
             ranges: list[list[dict]] = []
             items: list[list[str]] = []
             for words, first in _batch_words(batch):
-                start, end, window = shared.value.occurrences(words, first)
+                start, end, item = shared.value.occurrences(words, first)
                 order = np.argsort(start, kind="stable")
-                start, end, window = start[order], end[order], window[order]
+                start, end, item = start[order], end[order], item[order]
                 bounds = np.searchsorted(start, first)
                 for k in range(len(first) - 1):
                     row, a, b = len(n_words), bounds[k], bounds[k + 1]
                     n_words.append(int(first[k + 1] - first[k]))
                     known = [(r["start"], r["end"]) for r in before_ranges[row]]
                     ranges.append(_merged(known + list(zip((start[a:b] - first[k]).tolist(), (end[a:b] - first[k]).tolist(), strict=True))) if b > a or known else [])
-                    items.append(sorted({*before_items[row], *(x for w in set(window[a:b].tolist()) for x in shared.value.windows.items[w])}))
+                    items.append(sorted({*before_items[row], *(shared.value.names[w] for w in set(item[a:b].tolist()))}, key=lambda i: (i is not None, i)))
             made = {"__n_words": pa.array(n_words, pa.int64()), "__ranges": pa.array(ranges, _RANGES), "__items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
@@ -209,17 +265,17 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_tex
     no_hits = F.array().cast("array<struct<start: bigint, end: bigint>>")
     out = docs.select(*keep, F.lit(0).cast("long").alias("__n_words"), no_hits.alias("__ranges"), F.array().cast("array<string>").alias("__items"), F.col(text).alias("__text"))
     texts = docs.select(F.col(text).alias("__text"))
-    for ids, item_texts in _blocks(benchmark, item, item_text):
-        windows = Windows(ids, item_texts, window)
-        out = _scan(out, Index(windows, _count(texts, windows) if windows.words else {}))
+    for windows in _blocks(benchmark, item, item_text, window):
+        out = _scan(out, Index(windows, _count(texts, windows)))
     return out.drop("__text")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
     """``keep`` columns, n_words, ``ranges`` of hit words (disjoint, rising, end exclusive) and ``items``, one row per document.
 
-    Words are runs of [0-9a-z] and characters beyond ASCII after lower-casing A-Z. Null texts have no words, null items
-    and items without words no windows; equal items and repeated rows are each reported. Without documents or items the
+    Words are runs of [0-9a-z] and characters beyond ASCII after lower-casing A-Z. Null texts have no words and
+    no windows; equal items and repeated rows are each reported. An item with a null id hits words and counts as one item
+    (all of them as the same), and has no id to be listed. Without documents or items the
     result is empty or has no hits.
     """
     found = _found(docs, benchmark, text, item, item_text, keep, window)

@@ -45,7 +45,8 @@ def test_against_brute_force(spark, monkeypatch):
     b = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     want = sorted((i, *brute(t, items)) for i, t in docs)
     assert sorted(map(tuple, decontaminate.report(d, b).collect())) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # several blocks of the benchmark, one after the other
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)  # several blocks of the benchmark, one after the other
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 5)  # and items in several parts
     assert sorted(map(tuple, decontaminate.report(d, b).collect())) == want
     kept = decontaminate.clean(d, b)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, *_, bad in want if not bad]
@@ -58,3 +59,25 @@ def test_ranges_empty_tables_and_long_texts(spark):
     assert row.n_words == 200_017 and [(r.start, r.end) for r in row.ranges] == [(200_000, 200_017)] and row["items"] == ["1"]
     assert decontaminate.report(d.limit(0), b).count() == 0
     assert decontaminate.report(d, b.limit(0)).first().n_hit == 0 and decontaminate.clean(d, b.limit(0)).count() == 1
+
+
+def test_null_item_ids_and_windows_of_many_items(spark):
+    own = " ".join(f"w{k}" for k in range(15))
+    b = spark.createDataFrame([(None, own), (None, own), (7, own), (12, "x " + own)], "item_id long, text string")
+    row = decontaminate.report(spark.createDataFrame([(1, own + " tail")], "doc_id long, text string"), b).first()
+    assert (row.n_hit, row.n_items, row.items_sha256) == (15, 3, hashlib.sha256(b"12,7").hexdigest())
+
+
+def test_index_is_flat():
+    """Size by word of the benchmark, and every window is found where it stands."""
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 1 << 63, 4000).astype(np.uint64) for _ in range(20)]
+    windows = decontaminate.Windows([str(k) for k in range(20)], parts, 13)
+    index = decontaminate.Index(windows, {n: (keys, np.ones(len(keys), np.int64)) for n, keys in windows.shingles().items()})
+    assert len(pickle.dumps(index)) < 24 * 80_000 + (5 << 20)
+    start, end, item = index.occurrences(parts[3], np.array([0, 4000]))
+    assert len(start) == 4000 - 12 and (end - start == 13).all() and set(item.tolist()) == {index.names.index("3")}
