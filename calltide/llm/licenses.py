@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,18 @@ TEMPLATES = {
     "Proprietary": ("Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
+_TEXTS = Path(__file__).parent / "licence_texts"
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """TEMPLATES and the whole texts of the licences in ``licence_texts``, for files that hold one; read on the driver."""
+    out = dict(TEMPLATES)
+    for path in sorted(_TEXTS.glob("*.txt")):
+        out[path.stem] = (*out.get(path.stem, ()), path.read_text(encoding="utf-8"))
+    return out
+
+
 def words_of(text: str) -> list[str]:
     """Runs of [0-9a-z] and characters beyond ASCII after lower-casing A-Z, as the array code has them."""
     return _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))

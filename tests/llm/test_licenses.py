@@ -65,3 +65,19 @@ def test_every_template_passes_the_gate(spark):
     names = [name for name, ts in templates.items() for _ in ts]
     assert [got[k] for k in range(len(names))] == [(name, "header") for name in names]
     assert got[101] == ("Unlicense", "header") and got[102] == ("MIT", "inherited")
+
+
+def test_whole_licence_files(spark):
+    """Usual licence files: other owners and years, other wrapping, a title before and a line after."""
+    texts = licenses.all_templates()
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+    files = []
+    for k, name in enumerate(names):
+        body = texts[name][-1].replace("<year>", "2019-2024").replace("<copyright holders>", "Some Group and Friends").replace("<owner>", "Some Group and Friends")
+        wrapped = " ".join(body.split()[: len(body.split()) // 2]) + "\n" + "\n".join(body.split()[len(body.split()) // 2 :])
+        files += [(2 * k, f"p{2 * k}/LICENSE", body), (2 * k + 1, f"p{2 * k + 1}/COPYING.md", f"Our project\n\n{wrapped}\nSee the web page for questions.")]
+    files += [(100, "p100/LICENSE", "ordinary prose about nothing in particular " * 50), (101, "p0/src/a.py", "code")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, templates=texts).collect()}
+    assert {k: got[k] for k in range(2 * len(names))} == {k: (names[k // 2], "file") for k in range(2 * len(names))}
+    assert got[100] == (None, None) and got[101] == ("Apache-2.0", "inherited")
