@@ -14,7 +14,8 @@ from calltide.llm.common import crc_mod, table
 TOKENIZER = "word_bpe_49k.json"
 
 
-#: The dated list of op1, an example of a feed: (target, verdict, listed at, in seconds since 1970).
+#: The constant part of op1's dated list: (target, verdict, listed at, in seconds since 1970). The other part, which grows
+#: with the table, has an entry for the host or the first part of the path of every fifth page.
 LIST_ENTRIES = [
     ("example.net", "block", 1704844800), ("example.net", "remove", 1711929600), ("example.net", "block", 1719792000),
     ("tionsh.example.net", "allow", 1706745600), ("tionsh.example.net", "block", 1715000000), ("tionsh.example.net", "allow", 1725000000),
@@ -24,11 +25,15 @@ LIST_ENTRIES = [
 ]
 #: `pages` has no fetch time: one within 2024 follows from page_id.
 FETCHED_AT = "1704067200 + page_id * 9973 % 31536000"
+OWN_LISTED_AT = "1704067200 + page_id * 7919 % 31536000"
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED_AT).alias("fetched_at"))
     entries = spark.sql(f"SELECT target, verdict, CAST(listed_at AS BIGINT) AS listed_at FROM VALUES {', '.join(map(str, LIST_ENTRIES))} AS e(target, verdict, listed_at)")
+    own = pages.select("page_id", url_filters.host_of(F.col("url")).alias("host"), url_filters.path_of(F.col("url")).alias("path")).where("page_id % 5 = 1 AND host IS NOT NULL")
+    target = F.concat("host", F.when(F.col("page_id") % 2 == 1, F.regexp_extract("path", "^(/[^/]*)", 1)).otherwise(""))
+    entries = entries.unionByName(own.select(target.alias("target"), F.element_at(F.array(*map(F.lit, url_filters.VERDICTS)), (F.col("page_id") % 3 + 1).cast("int")).alias("verdict"), F.expr(OWN_LISTED_AT).alias("listed_at")))
     return url_filters.evaluate(pages, entries).select("page_id", "url", "host", "fetched_at", "verdict", "target", "listed_at", "keep")
 
 
@@ -52,7 +57,7 @@ PATH = "concat('repo/', coalesce(source, 'none'), '/p', doc_id div 500, '/m', (d
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", F.expr(PATH)))
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", F.expr(PATH)), templates=licenses.all_templates())
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +102,15 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": f"""
-        WITH entries(target, verdict, listed_at) AS (VALUES {", ".join(map(str, LIST_ENTRIES))}),
+        WITH p AS (SELECT page_id, url, CAST({FETCHED_AT} AS BIGINT) AS fetched_at, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
+                     regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
+        feed(target, verdict, listed_at) AS (VALUES {", ".join(map(str, LIST_ENTRIES))}),
+        entries AS (SELECT target, verdict, listed_at FROM feed UNION ALL
+                    SELECT host || CASE WHEN page_id % 2 = 1 THEN regexp_extract(CASE path WHEN '' THEN '/' ELSE path END, '^(/[^/]*)', 1) ELSE '' END,
+                           CASE page_id % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END, {OWN_LISTED_AT} FROM p WHERE page_id % 5 = 1 AND host <> ''),
         one AS (SELECT regexp_extract(target, '^([^/]*)', 1) AS domain, regexp_extract(target, '^[^/]*(/.*)$', 1) AS path, listed_at,
                        arg_min(verdict, CASE verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 2 ELSE 3 END) AS verdict FROM entries GROUP BY ALL),
         valid AS (SELECT *, lead(listed_at) OVER (PARTITION BY domain, path ORDER BY listed_at) AS valid_to FROM one),
-        p AS (SELECT page_id, url, CAST({FETCHED_AT} AS BIGINT) AS fetched_at, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
-                     regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
         hit AS (SELECT p.page_id, v.verdict, v.domain || v.path AS target, v.listed_at,
                        row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(v.domain, '.')) DESC, len(v.path) DESC) AS k
                 FROM p JOIN valid v ON (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND starts_with(CASE p.path WHEN '' THEN '/' ELSE p.path END, v.path)

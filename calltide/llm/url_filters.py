@@ -1,9 +1,11 @@
 """URL filtering against dated lists: an as-of join of captures to the list entries in force when they were fetched.
 
 A list is a feed of dated entries: from ``listed_at`` on, ``verdict`` holds for a host suffix, or for a path prefix
-below one. Entries of one target become validity intervals (each ends where the next begins). The distinct hosts, far
-fewer than captures, collect the intervals of their suffixes; captures then join on their host alone and evaluate the
-intervals at their own time. DataFrame operations only.
+below one. A path prefix is one of characters: /de holds for /dependency too. Entries of one target become validity
+intervals (each ends where the next begins). The distinct hosts, far fewer than captures, collect the intervals of their
+suffixes; captures then join on their host alone and evaluate the intervals at their own time. Where these rules are more
+than ``BROADCAST_BYTES``, as with a list of many paths under one domain, the distinct URLs collect the intervals that they
+match, by joins on domain and path prefix, so no row grows with the list. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -13,10 +15,9 @@ from pyspark.sql import functions as F
 
 #: Verdicts; where two entries share target and time, the one that stands first here holds.
 VERDICTS = ("block", "allow", "remove")
-#: Hosts with rules up to which the last join broadcasts them; each has a handful of intervals.
-BROADCAST_HOSTS = 50_000
-#: Copies of the rules, and parts of each host's captures, beyond that.
-SALTS = 16
+#: Bytes of all hosts' rules up to which they are broadcast, counted with RULE_BYTES for each.
+BROADCAST_BYTES = 32 << 20
+RULE_BYTES = 160
 
 _HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:@]+)"
 _PATH = r"^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
@@ -54,16 +55,28 @@ def _suffixes(host: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def _rule() -> Column:
+    return F.struct(
+        F.size(F.split("domain", r"\.")).alias("labels"), F.length("path").alias("depth"), (F.col("verdict") == "block").alias("blocks"), "domain", "path", "verdict", "valid_from", "valid_to"
+    )
+
+
+def rules_by_url(urls: DataFrame, valid: DataFrame) -> DataFrame:
+    """(host, path, rules) of the (host, path) that any interval matches: the lengths of a domain's paths tell which prefixes to look up."""
+    lengths = valid.groupBy("domain").agg(F.collect_set(F.length("path")).alias("lengths"))
+    asked = urls.select("host", "path", F.explode(_suffixes("host")).alias("domain")).join(lengths, "domain")
+    keys = asked.select("host", F.col("path").alias("whole"), "domain", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("whole"))
+    keys = keys.select("host", "whole", "domain", F.substring(F.col("whole"), F.lit(1), F.col("n")).alias("path"))
+    return keys.join(valid, ["domain", "path"]).groupBy("host", F.col("whole").alias("path")).agg(F.collect_list(_rule()).alias("rules"))
+
+
 def rules_by_host(hosts: DataFrame, valid: DataFrame) -> DataFrame:
     """(host, rules) of the hosts that any interval is about, now or at another time."""
     suffixed = hosts.select("host", F.explode(_suffixes("host")).alias("domain"))
-    rule = F.struct(
-        F.size(F.split("domain", r"\.")).alias("labels"), F.length("path").alias("depth"), (F.col("verdict") == "block").alias("blocks"), "domain", "path", "verdict", "valid_from", "valid_to"
-    )
-    return suffixed.join(valid, "domain").groupBy("host").agg(F.collect_list(rule).alias("rules"))
+    return suffixed.join(valid, "domain").groupBy("host").agg(F.collect_list(_rule()).alias("rules"))
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``captures`` with host, verdict (block, allow or null), target, listed_at and keep.
 
     Of the intervals that hold at ``fetched_at`` (from inclusive, to exclusive) the one of most domain labels, then of
@@ -71,18 +84,22 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_
     it is kept. Every row stays, repeated ones too. Own columns of these five names are replaced.
     """
     mine = ("host", "verdict", "target", "listed_at", "keep")
-    rows = captures.drop(*(c for c in mine if c not in (url, fetched_at))).withColumn("__host", host_of(F.col(url)))
-    hosts = rows.where(F.col("__host").isNotNull()).select(F.col("__host").alias("host")).distinct()
-    rules = rules_by_host(hosts, intervals(entries)).withColumnsRenamed({"host": "__host", "rules": "__rules"})
-    if rules.count() <= broadcast_hosts:
-        joined = rows.join(F.broadcast(rules), "__host", "left")
-    else:  # a host may hold a third of the captures: its rows go to SALTS tasks, each with a copy of its rules
-        salted = rules.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = rows.withColumn("__salt", F.pmod(F.xxhash64(url, fetched_at), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left").drop("__salt")
-    at, path = F.col(fetched_at), path_of(F.col(url))
-    holds = lambda r: (r["valid_from"] <= at) & (r["valid_to"].isNull() | (at < r["valid_to"])) & F.startswith(path, r["path"])
-    best = joined.withColumn("__best", F.array_max(F.filter("__rules", holds)))
+    columns = [c for c in captures.columns if c not in mine or c in (url, fetched_at)]
+    at, at_url = F.col(f"`{fetched_at}`"), F.col(f"`{url}`")
+    rows = captures.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)), host_of(at_url).alias("host"), path_of(at_url).alias("path"), at.alias("at"))
+    valid = intervals(entries)
+    # how large the hosts' rules are follows from how many intervals each domain has, without making them
+    per_domain = valid.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    hosts = rows.where(F.col("host").isNotNull()).select("host").distinct()
+    total = hosts.select(F.explode(_suffixes("host")).alias("domain")).join(per_domain, "domain").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    if total * RULE_BYTES <= broadcast_bytes:
+        joined = rows.join(F.broadcast(rules_by_host(hosts, valid)), "host", "left")
+    else:
+        urls = rows.where(F.col("host").isNotNull()).select("host", "path").distinct()
+        joined = rows.join(rules_by_url(urls, valid), ["host", "path"], "left")
+    holds = lambda r: (r["valid_from"] <= F.col("at")) & (r["valid_to"].isNull() | (F.col("at") < r["valid_to"])) & F.startswith(F.col("path"), r["path"])
+    best = joined.withColumn("best", F.array_max(F.filter("rules", holds)))
     return best.select(
-        *(f"`{c}`" for c in rows.columns if c != "__host"), F.col("__host").alias("host"), F.col("__best.verdict").alias("verdict"), F.concat("__best.domain", "__best.path").alias("target"),
-        F.col("__best.valid_from").alias("listed_at"), (~F.coalesce(F.col("__best.verdict") == "block", F.lit(False))).alias("keep"),
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), "host", F.col("best.verdict").alias("verdict"), F.concat("best.domain", "best.path").alias("target"),
+        F.col("best.valid_from").alias("listed_at"), (~F.coalesce(F.col("best.verdict") == "block", F.lit(False))).alias("keep"),
     )
