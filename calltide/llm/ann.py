@@ -250,7 +250,7 @@ def search(base: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
             )
 
     encoded = materialize(rows.mapInArrow(encode, "vec_id long, cell int, codes binary, vector binary, probes array<int>"))
-    queries = encoded.where("probes IS NOT NULL").dropDuplicates(["vec_id"])
+    queries = encoded.where("probes IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("vector", "probes")).alias("q")).select("vec_id", "q.*")
     probed = queries.select("vec_id", "vector", F.explode("probes").alias("cell"))
     in_cell = {r.cell: r["count"] for r in encoded.groupBy("cell").count().collect()}
     asked = {r.cell: r["count"] for r in probed.groupBy("cell").count().collect()}

@@ -146,7 +146,12 @@ def predict_batch(model: LanguageModel, texts: list[str]) -> tuple[list[str], np
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with lang_pred and score for every row; only ``text`` enters a prediction."""
+    """``keep`` columns with lang_pred and score for every row; only ``text`` enters a prediction.
+
+    A text that is null, empty or without a letter is UNDETERMINED with score 0; of languages of equal probability the
+    first by name is predicted. Repeated rows are each predicted; a kept column named lang_pred or score is replaced.
+    """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fit on at most ``train_docs`` labelled rows (the smallest hashes of ``key``) that have a document.
 
     The chosen labels are at most ``train_docs`` small rows and so are broadcast. Rows with a null key or a label other
-    than 0 and 1 teach nothing; a document with several rows or labels counts once for each.
+    than 0 and 1 teach nothing; a document with both labels counts once for each. Of several texts of one key the one with
+    the least features counts, so that what reaches the driver is bounded by ``train_docs`` whatever is repeated.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -162,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             x = features(text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.string()), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "label", "x"])
 
-    got = rows.mapInArrow(run, "key string, label int, x binary").orderBy("key", "label", "x").limit(4 * train_docs).collect()
+    got = rows.mapInArrow(run, "key string, label int, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key", "label").collect()
     x = np.array([np.frombuffer(r.x) for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r.label for r in got], int))
 

@@ -87,3 +87,48 @@ def test_bradley_terry_recovers_an_order():
     truth = x @ np.array([2.0, -1.0, 0.5, 0.0])
     model = quality.fit(x, (truth + rng.logistic(size=2000) * 0.3 > 0).astype(int))
     assert np.corrcoef(model.raw(x), truth)[0, 1] > 0.98
+
+
+def test_language_training_against_plain_counts(spark):
+    """Counts, smoothing and priors of a model against n-grams counted one by one."""
+    rng = random.Random(5)
+    rows = [(k, text_in(lang, rng, 8), lang) for k, lang in enumerate(["en", "de", "es", "en"] * 8)]
+    model = language.train(spark.createDataFrame([*rows, (99, None, "en"), (98, "", "de"), (97, "x", None)], "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "es"]
+    for k, name in enumerate(model.languages):
+        counts = np.zeros(language.BUCKETS)
+        own = [t for _, t, lang in rows if lang == name]
+        for text in own:
+            for _, buckets in language.grams([text]):
+                for b in buckets.tolist():
+                    counts[b] += 1
+        want = np.log((counts + language.SMOOTHING) / (counts.sum() + language.SMOOTHING * language.BUCKETS))
+        assert np.allclose(model.log_probability[:, k], want) and np.isclose(model.log_prior[k], np.log(len(own) / len(rows)))
+    replaced = language.predict(spark.createDataFrame([("t", "x")], "text string, score string"), model, keep=("text", "score"))
+    assert replaced.columns == ["text", "lang_pred", "score"]
+
+
+def test_quality_fit_against_gradient_descent():
+    """The weights minimise the logistic loss on the pairs' differences, and the threshold makes the fewest errors of all."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    y = (x[:, 0] - 0.7 * x[:, 3] + rng.normal(size=300) * 0.8 > 0).astype(int)
+    model = quality.fit(x, y, pairs=2000, seed=3)
+    coin, z = np.random.default_rng(3), (x - x.mean(axis=0)) / x.std(axis=0)
+    d = z[coin.choice(np.flatnonzero(y == 1), 2000)] - z[coin.choice(np.flatnonzero(y == 0), 2000)]
+    w = np.zeros(x.shape[1])
+    for _ in range(6000):  # plain descent, another way to the same minimum
+        w -= 0.2 * (quality.RIDGE * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d))
+    assert np.abs(w - model.weights).max() < 1e-2
+    raw = model.raw(x)
+    errors = lambda cut: int(((raw >= cut) != (y == 1)).sum())
+    assert errors(model.threshold) <= min(errors(c) for c in np.sort(raw)) + 1
+
+
+def test_quality_training_takes_one_row_per_key_and_label(spark):
+    rng = random.Random(3)
+    docs = [(k, good(rng) if k % 2 else bad(rng)) for k in range(60)] + [(7, good(rng)) for _ in range(50)]
+    labels = [(k, k % 2) for k in range(60)] * 2 + [(None, 1), (5, 7)]
+    model = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), train_docs=60)
+    again = quality.train(spark.createDataFrame(docs[::-1], "doc_id long, text string"), spark.createDataFrame(labels[::-1], "doc_id long, quality int"), train_docs=60)
+    assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold
