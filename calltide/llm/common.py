@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from calltide.session import ship
 
-#: Rows of an Arrow batch that goes to a Python worker: with texts of some thousand characters, a few MB.
+#: Rows and bytes of an Arrow batch that goes to a Python worker; one row larger than that is a batch of its own.
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 4 << 20
 #: Default words of a shingle and least Jaccard similarity of near copies.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -22,27 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Lower the session's rows per Arrow batch, so that a batch of whole texts stays small, and see that workers can import us."""
+def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: int = BYTES_PER_BATCH) -> None:
+    """Lower the session's rows and bytes per Arrow batch, so that a batch of whole texts stays small, and see that workers can import us.
+
+    Plans read these settings when they run, so they stay lowered for the session; they are never raised.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for key, default, most in (("maxRecordsPerBatch", 10_000, rows), ("maxBytesPerBatch", 64 << 20, size)):
+        found = re.match("-?[0-9]+", str(spark.conf.get(f"spark.sql.execution.arrow.{key}", str(default))))
+        now = int(found[0]) if found else default
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _OWN_DIRS.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='calltide-')}"
-        _OWN_DIRS[spark.sparkContext.applicationId] = found
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _OWN_DIRS.get(context.applicationId) or f"file://{tempfile.mkdtemp(prefix='calltide-')}"
+        _OWN_DIRS[context.applicationId] = found
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
+    Shuffle files of what is written by now are needed no more; the driver's collection lets Spark delete them.
     The files go when the application ends; ``drop_table`` removes them earlier.
     """
     spark = df.sparkSession
@@ -51,6 +61,7 @@ def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFra
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._calltide_path = path
     return out

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
 Documents become pieces of at most ``capacity`` tokens; only (doc_id, piece, start, length, crc) rows travel from there
-on, some 40 bytes each. Pieces are dealt by hash into shards of about ``SHARD_PIECES``; a shard is packed on its own
+on, some 40 bytes each. Pieces are dealt by a hash of their row, whatever their id, into shards of about ``SHARD_PIECES``; a shard is packed on its own
 and costs at most one part-filled sequence. Each shard has ``ISLANDS`` populations that evolve apart and pass their
 elites round a ring after every round. A crossover puts whole well-filled bins of one parent into a copy of the other,
 takes away the bins that hold the same pieces, and best-fits the displaced pieces.
@@ -145,20 +145,21 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, migrants: list[np.ndarra
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
+    return pdf.sort_values("row", kind="stable", ignore_index=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pieces with their sequence_id and offset; every piece is placed once and no sequence exceeds ``capacity``.
 
     Pieces that fill a sequence alone are one without further search. Null doc_ids, ties and repeated rows are pieces
-    like any others; of no pieces comes an empty table.
+    like any others, told apart by the number that each row gets as it is written; of no pieces comes an empty table.
+    An ``ids`` column, where there is one, stays with its piece.
     """
-    spark = pieces.sparkSession
-    pieces = materialize(pieces)
-    n = pieces.count()
+    whole = materialize(pieces.withColumn("row", F.monotonically_increasing_id()))
+    facts = [f.split(" ")[0] for f in PIECE_SCHEMA.split(", ")]
+    n = whole.count()
     shards = max(1, -(-n // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int"))
+    dealt = whole.select(*facts, "row").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     tasks = partitions(shards * ISLANDS, 1)
     state_schema = "shard int, island int, elite int, bins binary"
 
@@ -198,17 +199,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         moved = state.repartition(tasks, "shard", "island").groupBy("shard", "island")
         state = materialize(on_islands.groupBy("shard", "island").cogroup(moved).applyInPandas(migrate(round_), state_schema))
         drop_table(before)
-    placed_schema = PIECE_SCHEMA + ", sequence_id long, offset long"
+    placed_schema = PIECE_SCHEMA + ", row long, sequence_id long, offset long"
     placed = small.repartition(tasks, "shard").groupBy("shard").cogroup(state.repartition(tasks, "shard").groupBy("shard")).applyInPandas(place, placed_schema)
-    full = dealt.where(F.col("length") >= capacity).drop("shard").withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
-    return placed.unionByName(full)
+    full = dealt.where(F.col("length") >= capacity).drop("shard").withColumns({"sequence_id": -F.col("row") - 1, "offset": F.lit(0).cast("long")})
+    out = placed.unionByName(full)
+    if "ids" in whole.columns:
+        out = out.join(whole.select("row", "ids"), "row")
+    return out.drop("row")
 
 
-def assemble_sequences(pieces_with_ids: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its ids in order; a sequence holds at most ``capacity`` ids."""
-    keys = ["doc_id", "piece"]
-    joined = placed.select(*keys, "sequence_id", "offset").join(pieces_with_ids.select(*keys, "ids"), keys)
-    return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
+def assemble_sequences(placed: DataFrame) -> DataFrame:
+    """The packed sequences themselves, of packed pieces with ids: sequence_id and its ids in order, at most ``capacity`` of them."""
+    return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

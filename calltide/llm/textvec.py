@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U64 = np.uint64
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def slices(lengths: np.ndarray, bound: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

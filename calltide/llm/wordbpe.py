@@ -91,7 +91,7 @@ class _PairTable:
 class WordBPE:
     """ids(texts) -> (all ids as uint32, offsets): the ids the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str, cache_ids: int = 4_000_000, added_tokens: bool = False):
+    def __init__(self, path: str, cache_ids: int = 1_000_000, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -56,11 +56,20 @@ def test_pieces_and_sequences(spark):
     for _, own in got.sort_values("offset").groupby("sequence_id"):
         assert own["length"].sum() <= capacity and (own["length"].cumsum() - own["length"] == own["offset"]).all()
     assert got["sequence_id"].nunique() <= 1.1 * sum(w[3] for w in want) / capacity + 3
-    sequences = packing.assemble_sequences(pieces.where("doc_id > 10"), packing.pack(packing.tokenize_pieces(df.where("doc_id > 10"), PATH, capacity=capacity), capacity)).collect()
-    assert sorted(t for s in sequences for t in s.ids) == sorted(t for i, text in docs if i and i > 10 for t in [*library_ids(text or ""), 1])
+    sequences = packing.assemble_sequences(packing.pack(pieces, capacity)).collect()  # repeated rows and null ids too
+    assert sorted(t for s in sequences for t in s.ids) == sorted(t for _, text in docs for t in [*library_ids(text or ""), 1])
+    assert all(len(s.ids) <= capacity for s in sequences)
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
+def test_pieces_of_one_id_are_dealt_to_all_shards(spark):
+    pieces = spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "0L AS start", "id % 97 + 1 AS length", "7L AS ids_crc32")
+    got = packing.pack(pieces, 256, shard_pieces=100).toPandas()
+    per_shard = (got["sequence_id"] // (1 << 32)).value_counts()
+    assert len(got) == 2000 and len(per_shard) == 20 and per_shard.max() < 200
+    assert got.groupby("sequence_id")["length"].sum().max() <= 256
+
+
 def test_genetic_search_is_no_worse_than_best_fit():
     rng = np.random.default_rng(1)
     sizes = rng.integers(900, 2200, 600)
