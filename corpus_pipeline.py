@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from calltide.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from calltide.llm.common import crc_mod, materialize, table
+from calltide.llm.common import crc_mod, drop_table, materialize, table
 from calltide.llm.queries import TOKENIZER
 
 #: Not expressible: the first stage is a trained model and the last an evolutionary search.
@@ -32,10 +32,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in windows of benchmark items."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokenised documents' pieces with their places in training sequences."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -49,8 +51,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over documents, each written and read again."""
+    """Every stage in turn over documents, each written and read again; a stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
