@@ -28,8 +28,8 @@ PERCENT = 80
 WORD = "[^" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z") + "]+"
 #: Bits of the bitmap of tokens that several classes share.
 SEEN_BITS = 1 << 24
-#: Set names (16 bytes) up to which a join broadcasts them: some 60 MB with the table's overhead.
-BROADCAST_ROWS = 1_000_000
+#: Lines (positions of some 40 bytes) up to which a join broadcasts them: some 60 MB with the table's overhead.
+BROADCAST_ROWS = 500_000
 #: Bytes of the result up to which it is broadcast to the documents, counted with ROW_BYTES for the fixed part of a row.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 80
@@ -108,26 +108,30 @@ def _few_differ(x: str, y: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
+def _at(x: str) -> Column:
+    return F.struct(*(F.col(f"{x}.{c}").alias(c) for c in POSITION))
+
+
 def _before(a: str, b: str) -> Column:
-    return F.struct(*(f"{a}.{c}" for c in POSITION)) < F.struct(*(f"{b}.{c}" for c in POSITION))
+    return _at(a) < _at(b)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The classes x of the pairs (x, y) whose sets reach the similarity, written; sets are looked up in the lines."""
+    """The classes x of the pairs (x, y) whose sets reach the similarity, written; sets are looked up in the lines that name them."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = lines.select("k", "tokens").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("tokens").alias("tokens"))
-    joined = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("ty")), "y")
+    sets = lines.select(F.struct(*POSITION).alias("at"), "tokens").join(wanted, "at", "left_semi").dropDuplicates(["at"])
+    joined = pairs.join(sets.select(F.col("at").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("at").alias("y"), F.col("tokens").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    found = materialize(joined.where(common * 100 >= (F.size("tx") + F.size("ty") - common) * percent).select(F.col("x").alias("k")).distinct())
+    found = materialize(joined.where(common * 100 >= (F.size("tx") + F.size("ty") - common) * percent).select(F.col("x").alias("at")).distinct())
     drop_table(pairs)
     return found
 
 
 def _seen_twice(classes: DataFrame) -> DataFrame:
     """(word, bits): a bitmap of fixed size with the hashes of the prefix tokens that several classes have."""
-    often = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = classes.select(F.explode("prefix").alias("token")).select(_token(F.col("token")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return often.groupBy(_word("token").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(xxhash64(token) & 63 AS INT)))").alias("bits"))
 
 
@@ -143,32 +147,42 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     """(d, h, removed array<int>) of each document, named by id and text hash, that loses lines: their numbers, rising."""
     lines = materialize(token_sets(docs, doc_id, text, short_lines), HASHED)
     n = F.size("tokens")
-    prefix = F.transform(F.slice(ordered("tokens", rarity_order(lines)), F.lit(1), n - _least_common(n, percent) + 1), _token)
-    keyed = lines.select(*POSITION, "k", F.expr(PARITY).alias("parity"), n.alias("n"), prefix.alias("prefix"))
-    classes = keyed.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
-    classes = materialize(classes.select("k", "at.*", "copies", "n", "parity", "prefix"), HASHED)
+    prefix = F.slice(ordered("tokens", rarity_order(lines)), F.lit(1), n - _least_common(n, percent) + 1)
+    keyed = lambda rows: rows.select(*POSITION, "k", F.expr(PARITY).alias("parity"), n.alias("n"), prefix.alias("prefix"))
+    # a class is named by its first line, ``at``; where few sets have copies, the lines of all others are classes as they are
+    copied = materialize(lines.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    few = copied.count() <= BROADCAST_ROWS
+    several = keyed(lines.join(F.broadcast(copied), "k", "left_semi") if few else lines)
+    classes = several.groupBy("k").agg(F.min(F.struct(*POSITION)).alias("at"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+    if few:
+        alone = keyed(lines.join(F.broadcast(copied), "k", "left_anti"))
+        classes = classes.unionByName(alone.select("k", F.struct(*POSITION).alias("at"), F.lit(1).cast("long").alias("copies"), "n", "parity", "prefix"))
+    classes = materialize(classes, HASHED)
 
     # tokens of one class only, most of them, go before anything is shuffled; the bitmap is at most 4 MB and so broadcast
     seen = materialize(_seen_twice(classes))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    entries = classes.select("k", *POSITION, "n", "parity", F.posexplode("prefix").alias("place", "token")).withColumn("word", _word("token"))
+    entries = classes.select("at.*", "n", "parity", F.posexplode("prefix").alias("place", "token")).withColumn("token", _token(F.col("token"))).withColumn("word", _word("token"))
     entries = entries.join(F.broadcast(seen), "word").where(F.getbit("bits", _bit("token")) == 1)
-    entries = materialize(entries.select("token", band.alias("band"), F.struct(*POSITION, "k", "n", "parity", "place").alias("x")), HASHED)
+    entries = materialize(entries.select("token", band.alias("band"), F.struct(*POSITION, "n", "parity", "place").alias("x")), HASHED)
     # the earliest line of each token and length, by aggregation and join: a token that many lines share is split
     leaders = entries.groupBy("token", "band").agg(F.min("x").alias("leader"))
-    led = materialize(entries.join(leaders, ["token", "band"]).where(F.col("x.k") != F.col("leader.k")).select("token", "x", "leader"), HASHED)
 
     bounds = lambda x, y: _before(y, x) & _could_match(F.col(f"{x}.n"), F.col(f"{x}.place"), F.col(f"{y}.n"), F.col(f"{y}.place"), percent) & _few_differ(x, y, percent)
-    settled = _verified(led.where(bounds("x", "leader")).select(F.col("x.k").alias("x"), F.col("leader.k").alias("y")).distinct(), lines, percent)
-    open_ = entries.select("token", "x", "x.k").join(settled, "k", "left_anti")
+    led = entries.join(leaders, ["token", "band"]).where(bounds("x", "leader"))
+    settled = _verified(led.select(_at("x").alias("x"), _at("leader").alias("y")).distinct(), lines, percent)
+    open_ = entries.select("token", "x", _at("x").alias("at")).join(settled, "at", "left_anti")
     met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y"))
-    later = _verified(met.select(F.col("x.k").alias("x"), F.col("y.k").alias("y")).distinct(), lines, percent)
+    later = _verified(met.select(_at("x").alias("x"), _at("y").alias("y")).distinct(), lines, percent)
+    for used in (seen, entries):
+        drop_table(used)
     removed = settled.unionByName(later).withColumn("matched", F.lit(True))
     # lines of classes with copies or matches; of a class without a match the first line stays
-    loses = classes.select("k", "copies", F.struct(*POSITION).alias("at")).join(removed, "k", "left").where("matched OR copies > 1").drop("copies")
-    gone = lines.select("k", *POSITION).join(loses, "k").where(F.col("matched") | (F.struct(*POSITION) != F.col("at")))
+    loses = materialize(classes.select("k", "copies", "at").join(removed, "at", "left").where("matched OR copies > 1").drop("copies"))
+    small = F.broadcast(loses) if loses.count() <= BROADCAST_ROWS else loses
+    gone = lines.select("k", *POSITION).join(small, "k").where(F.col("matched") | (F.struct(*POSITION) != F.col("at")))
     gone = materialize(gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")))
-    for used in (lines, classes, seen, entries, led, settled, later):
+    for used in (lines, copied, classes, settled, later, loses):
         drop_table(used)
     return gone
 

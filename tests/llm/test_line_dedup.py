@@ -130,3 +130,17 @@ def test_prefix_tokens_of_equal_low_bits(spark, monkeypatch):
     docs = corpus(11, 80)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == brute(docs)
+
+
+def test_joins_without_broadcast(spark, monkeypatch):
+    docs = corpus(13, 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == brute(docs)
+
+
+def test_short_unlike_lines_all_stay(spark):
+    """400,000 lines of five words, none of them shared: 32-bit tokens would take some 18 away."""
+    df = spark.range(400_000).selectExpr("id AS doc_id", "concat_ws(' ', concat('a', id), concat('b', id), concat('c', id), concat('d', id), concat('e', id)) AS text")
+    assert line_dedup.removals(df).count() == 0
