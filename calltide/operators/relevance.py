@@ -50,8 +50,11 @@ def rank(queries: DataFrame, entries: DataFrame, query_key: str, query_text: str
     ``age`` is a column over ``entries``: an entry's age in days. Scores are shared rare tokens times recency.
     """
     rare = rare_tokens(entries, entry_text, rare_below, stop_words)
-    pairs = overlaps(queries, entries, query_key, query_text, entry_key, entry_text, rare, stop_words)
-    scored = pairs.join(entries.select(entry_key, recency(age, decay_days).alias("__recency")), entry_key).withColumn("score", F.col("overlap") * F.col("__recency"))
+    # an entry too old to score has no part in the join, and its recency travels with its key
+    aged = entries.select(F.struct(F.col(entry_key).alias("key"), recency(age, decay_days).alias("recency")).alias("__entry"), entry_text)
+    aged = aged.where("__entry.recency > 0") if min_score > 0 else aged
+    pairs = overlaps(queries, aged, query_key, query_text, "__entry", entry_text, rare, stop_words)
+    scored = pairs.select(query_key, F.col("__entry.key").alias(entry_key), (F.col("overlap") * F.col("__entry.recency")).alias("score"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(entry_key))
     return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(query_key, "rank", entry_key, "score")
 

@@ -22,8 +22,8 @@ def test_reports(spark, tmp_path):
     assert report["outcomes"] == {"candidate_wins": 1, "baseline_wins": 1} and report["win_rate_without_ties"] == 0.5 and [len(d["query"]) for d in report["details"]] == [1, 80]
     reports.write_json(spark, f"{tmp_path}/r.json", report)
     assert json.loads((tmp_path / "r.json").read_text()) == report
-    entries = spark.createDataFrame([(k, f"twar dispatcher entry{k}") for k in range(3)], "seq int, query string")
-    targets = spark.createDataFrame([(0, "twar dispatcher"), (1, "nothing alike")], "idx int, query string")
+    entries = spark.createDataFrame([(k, f"orchard ladder entry{k}") for k in range(3)], "seq int, query string")
+    targets = spark.createDataFrame([(0, "orchard ladder"), (1, "nothing alike")], "idx int, query string")
     sheet = reports.score_sheet(targets, entries, F.lit(0.0), min_score=1.0, rare_below=1.01)
     assert sheet.count("- [ ] **match 1.") == 3 and "_(no matches)_" in sheet
     ticked = spark.createDataFrame([(sheet.replace("[ ] **match 1.1", "[x] **match 1.1"),)], "t string").select(F.explode(checkboxes("t")).alias("box"))
