@@ -178,11 +178,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
         drop_table(used)
     removed = settled.unionByName(later).withColumn("matched", F.lit(True))
     # lines of classes with copies or matches; of a class without a match the first line stays
-    loses = materialize(classes.select("k", "copies", "at").join(removed, "at", "left").where("matched OR copies > 1").drop("copies"))
-    small = F.broadcast(loses) if loses.count() <= BROADCAST_ROWS else loses
-    gone = lines.select("k", *POSITION).join(small, "k").where(F.col("matched") | (F.struct(*POSITION) != F.col("at")))
+    loses = classes.select("k", "copies", "at").join(removed, "at", "left").where("matched OR copies > 1").drop("copies")
+    gone = lines.select("k", *POSITION).join(loses, "k").where(F.col("matched") | (F.struct(*POSITION) != F.col("at")))
     gone = materialize(gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("line")).alias("removed")))
-    for used in (lines, copied, classes, settled, later, loses):
+    for used in (lines, copied, classes, settled, later):
         drop_table(used)
     return gone
 
