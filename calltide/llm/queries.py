@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import ann, decontaminate, hard_negatives, jaccard_join, language, licenses, line_dedup, packing, periodic_runs, pii, quality, url_filters
+from calltide.llm import ann, decontaminate, hard_negatives, jaccard_join, language, licenses, line_dedup, ogg_media, packing, periodic_runs, pii, quality, url_filters
 from calltide.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,6 +85,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
+def op11_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_media.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.plant(table(spark, sf_dir, "documents"))))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_ogg_media": op11_ogg_media,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }
