@@ -1,12 +1,13 @@
 """Connected components of edge lists that no machine holds, by alternating large-star and small-star rounds.
 
-Each round is two aggregations over the edges. Edges are written to the shared folder every round, so lineage stays
-short and a lost executor costs one round's tasks. A round's groups stream through a window; none is collected.
+Each round is two aggregations over the edges, combined on the map side, and two joins with their results, which AQE splits
+where a node has many edges: no task needs all edges of a node. Edges are written to the shared folder every round, so
+lineage stays short and a lost executor costs one round's tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm.common import drop_table, materialize
@@ -18,7 +19,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step: every neighbour of a node (large: the larger ones; small: the smaller ones) gets the least of them."""
     both = edges.select("a", "b") if small else edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # small: a > b, so a's group holds its smaller neighbours only
-    least = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    least = both.join(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "a")
     if small:
         out = least.select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
     else:

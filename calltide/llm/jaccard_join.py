@@ -129,7 +129,7 @@ def paths(signatures: np.ndarray, row: np.ndarray, key: np.ndarray, threshold: f
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n, signature) of every row; n is the number of shingles."""
+    """(row, doc_id, k1, k2, n, signature) of every row of (row, doc_id, text); n is the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +137,11 @@ def _features(docs: DataFrame) -> DataFrame:
             keys = [set_keys(s) for s in sets]
             signed = [signature(s).astype("<u4").tobytes() if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signed, pa.binary())],
-                ["doc_id", "k1", "k2", "n", "signature"],
+                [batch.column("row"), batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(signed, pa.binary())],
+                ["row", "doc_id", "k1", "k2", "n", "signature"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n int, signature binary")
+    return docs.mapInArrow(run, "row long, doc_id long, k1 long, k2 long, n int, signature binary")
 
 
 def _children(level: DataFrame, threshold: float, first: bool) -> DataFrame:
@@ -304,7 +304,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("class").sort_values(["side", "class"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["side", "class"], kind="stable", ignore_index=True)
         cross = int((pdf["side"] == 0).sum()) if pdf["side"].max() else None
         ids, copies = pdf["class"].to_numpy(), pdf["copies"].to_numpy(np.int64)
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -323,6 +323,11 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("group", "pair").applyInPandas(run, "class long, links long, root long")
 
 
+def _numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns with a number for every row, which stays as it is written: ids may be null or repeat."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *columns))
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links), one row per row of ``docs``.
 
@@ -331,56 +336,58 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     Documents without words (null, empty) are linked to nothing and are each their own class. Words are runs of
     [0-9a-z] and characters beyond ASCII after lower-casing A-Z. A null doc_id counts as -1.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bound_batches(docs.sparkSession)
+    texts = _numbered(docs, F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    out = _linked(texts, threshold).drop("row", "stays")
+    drop_table(texts)
+    return out
+
+
+def _linked(texts: DataFrame, threshold: float) -> DataFrame:
+    """(row, doc_id, class_id, n_links, stays) of a written table (row, doc_id, text), which is read no more afterwards.
+
+    ``stays`` marks one row of each component, the first by (doc_id, row), and every row without words.
+    """
     features = materialize(_features(texts))
     # copies meet here: one row per set, combined on the map side; a class is named by its first key
-    classes = features.where("n > 0").groupBy("k1", "k2").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(classes.withColumnRenamed("k1", "class"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("least"), "row"))
+    classes = features.where("n > 0").groupBy("k1", "k2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = materialize(classes.select(F.col("k1").alias("class"), "k2", "first.least", "first.row", "copies", "n", "signature"))
     groups = components(candidate_links(classes, threshold))
-    sized = groups.withColumnRenamed("node", "class").join(classes.select("class", "least", "copies", "n"), "class")
+    sized = groups.withColumnRenamed("node", "class").join(classes.select("class", "row", "copies", "n"), "class")
     per_group = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    named = materialize(sized.join(per_group.select("component", blocks.alias("blocks")), "component").select("class", F.col("component").alias("group"), "least", "copies", "blocks"))
+    named = materialize(sized.join(per_group.select("component", blocks.alias("blocks")), "component").select("class", F.col("component").alias("group"), "row", "copies", "blocks"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
-            own = pa.array([c == set_keys(s)[0] for c, s in zip(batch.column("class").to_pylist(), sets, strict=True)])
-            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "shingles"])
-            yield made.filter(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], [*batch.schema.names[:-1], "shingles"])
 
     small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    wanted = texts.join(small, F.coalesce(texts["doc_id"], F.lit(-1)) == named["least"]).select("class", "group", "copies", "blocks", "text")
+    wanted = texts.select("row", "text").join(small, "row").select("class", "group", "copies", "blocks", "text")
     shingled = wanted.mapInArrow(make, "class long, group long, copies long, blocks int, shingles binary")
     members = shingled.select("class", "group", "copies", "shingles", F.explode(_block_pairs(F.col("blocks"))).alias("p")).select("class", "group", "copies", "shingles", "p.*")
     verified = materialize(_verify(members, threshold))
     roots = components(verified.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
-    facts = classes.select("class", "k2", "least", "copies").join(verified.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots, "class", "left")
+    facts = classes.select("class", "k2", F.struct("least", "row").alias("first"), "copies").join(verified.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(roots, "class", "left")
     facts = facts.withColumn("component", F.coalesce("component", "class"))
-    names = facts.groupBy("component").agg(F.min("least").alias("class_id"))
-    facts = materialize(facts.join(names, "component").select("class", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    joined = features.select("doc_id", "n", F.col("k1").alias("class"), "k2").join(facts, ["class", "k2"], "left")
-    return joined.select("doc_id", F.coalesce("class_id", F.coalesce("doc_id", F.lit(-1))).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = facts.groupBy("component").agg(F.min("first").alias("of"))
+    facts = materialize(facts.join(names, "component").select("class", "k2", "of", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    joined = features.select("row", "doc_id", "n", F.col("k1").alias("class"), "k2").join(facts, ["class", "k2"], "left")
+    class_id = F.coalesce("of.least", "doc_id", F.lit(-1)).alias("class_id")
+    return joined.select("row", "doc_id", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("row") == F.col("of.row"), F.lit(True)).alias("stays"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The documents with their own columns, whatever those are called, of each class the ones with the least id.
+    """The documents with their own columns, whatever those are called, of each class the first by doc_id.
 
-    Rows without words all stay, and a null id counts as -1. Of rows that repeat id and text one stays; rows that share
-    the least id but not the text are different documents of one name and all stay.
+    Rows without words all stay. A null id counts as -1; of rows that share the class's least id one stays.
     """
-    linked = materialize(link(docs, doc_id, text, threshold))
+    bound_batches(docs.sparkSession)
     columns = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)).alias("__own"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
-    keep = linked.where(F.col("class_id") == F.coalesce("doc_id", F.lit(-1))).groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("links"))
-    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    repeated = materialize(keep.where("rows > 1 AND links > 0").select("class_id"))
-    kept = inner.join(small(keep.select("class_id")), F.col("__own") == F.col("class_id"), "left_semi")
-    out = lambda df: df.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(columns)))
-    if repeated.isEmpty():
-        return out(kept)
-    again = small(repeated)
-    one = kept.join(again, F.col("__own") == F.col("class_id"), "left_semi").dropDuplicates(["__own", "__h"])
-    return out(kept.join(again, F.col("__own") == F.col("class_id"), "left_anti").unionByName(one))
+    numbered = _numbered(docs, *(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)))
+    texts = numbered.select("row", F.col(f"__{columns.index(doc_id)}").cast("long").alias("doc_id"), F.col(f"__{columns.index(text)}").alias("text"))
+    gone = materialize(_linked(texts, threshold).where("NOT stays").select("row"))
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return numbered.join(small, "row", "left_anti").select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(columns)))

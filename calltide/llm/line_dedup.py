@@ -3,10 +3,10 @@
 A line's tokens are its five-word shingles, as 64-bit hashes, written once as a table that all later steps read: sets are
 named (by 128 bits) and verified by them. Candidates are found by 32-bit hashes of them, which only costs a few more of
 them. Tokens are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order
-fits in a literal of fixed size). Lines of fewer than five words have no tokens, or with ``short_lines`` one of all their words,
-so that exact repeats of them go too. Two sets with Jaccard similarity of at
-least ``PERCENT`` share a token within their prefixes; candidates come from a join on prefix tokens with length and
-positional bounds, and are verified on whole token sets. A line with an earlier match goes.
+fits in a literal of fixed size). A line of one to four words has one token, made of all its words, so that it goes where it
+repeats such a line. Two sets with Jaccard similarity of at least ``PERCENT`` share a token within their prefixes; candidates
+come from a join on prefix tokens with length and positional bounds, and are verified on whole token sets. A line with an
+earlier match goes. Lines without words have no tokens and stay.
 
 Equal sets are one class from the start, so copies cost one row. Within a class of near copies the pairs would grow with
 the square of its size; only whether an earlier match exists matters, so lines first meet the earliest line of their
@@ -54,13 +54,10 @@ def _shingles(words: str) -> Column:
     return F.slice(F.transform(words, each), F.lit(1), F.greatest(F.size(words) - (SHINGLE_WORDS - 1), F.lit(1)))
 
 
-def token_sets(docs: DataFrame, doc_id: str, text: str, short_lines: bool = False) -> DataFrame:
-    """(d, h, line, k, tokens array<long>): the distinct shingles, rising, of every line of at least five words; k names the set.
-
-    With ``short_lines`` a line of one to four words has one token, made of all its words. ``k`` is a struct of two longs.
-    """
+def token_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, h, line, k, tokens array<long>): the distinct shingles, rising, of every line with words; k, two longs, names the set."""
     words = _named(docs, doc_id, text).select("d", "h", F.posexplode(F.transform("lines", _word_hashes)).alias("line", "words"))
-    sets = words.where(F.size("words") >= (1 if short_lines else SHINGLE_WORDS)).select(*POSITION, F.sort_array(F.array_distinct(_shingles("words"))).alias("tokens"))
+    sets = words.where(F.size("words") >= 1).select(*POSITION, F.sort_array(F.array_distinct(_shingles("words"))).alias("tokens"))
     return sets.select(*POSITION, F.struct(F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b")).alias("k"), "tokens")
 
 
@@ -143,9 +140,9 @@ def _bit(token: str) -> Column:
     return F.xxhash64(token).bitwiseAND(63).cast("int")
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short_lines: bool = False) -> DataFrame:
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(d, h, removed array<int>) of each document, named by id and text hash, that loses lines: their numbers, rising."""
-    lines = materialize(token_sets(docs, doc_id, text, short_lines), HASHED)
+    lines = materialize(token_sets(docs, doc_id, text), HASHED)
     n = F.size("tokens")
     prefix = F.slice(ordered("tokens", rarity_order(lines)), F.lit(1), n - _least_common(n, percent) + 1)
     keyed = lambda rows: rows.select(*POSITION, "k", F.expr(PARITY).alias("parity"), n.alias("n"), prefix.alias("prefix"))
@@ -205,25 +202,25 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def judged_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, short_lines: bool = False) -> DataFrame:
+def judged_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines and ``removed`` array<int> (numbers from 0) of every row.
 
     A null text has no lines; an empty one has one, which stays. Rows with equal id and text are one document and lose
     the same lines. Order is by doc_id (null first), then text hash, then line.
     """
-    gone = removals(docs, doc_id, text, percent, short_lines)
+    gone = removals(docs, doc_id, text, percent)
     breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     rows = docs.select(F.col(doc_id).alias("__d"), F.xxhash64(text).alias("__h"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = _with_removed(rows, gone, "__d", "__h")
     return joined.select(F.col("__d").alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, drop_emptied: bool = True, short_lines: bool = False) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, drop_emptied: bool = True) -> DataFrame:
     """The documents with their own columns, without the removed lines.
 
     ``drop_emptied`` drops documents that lost lines and have only blank ones left; null and empty texts stay as they are.
     """
-    gone = removals(docs, doc_id, text, percent, short_lines)
+    gone = removals(docs, doc_id, text, percent)
     columns = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)), F.xxhash64(text).alias("__h"))
     id_, body = f"__{columns.index(doc_id)}", f"__{columns.index(text)}"

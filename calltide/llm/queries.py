@@ -153,7 +153,7 @@ ORACLE_SQL: dict[str, str] = {
         lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS body FROM split WHERE ls IS NOT NULL),
         words AS (SELECT doc_id, line, regexp_extract_all(lower(body), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM lines),
         shingles AS (SELECT DISTINCT doc_id, line, array_to_string(ws[i:i + 4], ' ') AS s
-                     FROM (SELECT doc_id, line, ws, unnest(range(1, len(ws) - 3)) AS i FROM words WHERE len(ws) >= 5)),
+                     FROM (SELECT doc_id, line, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
         sizes AS (SELECT doc_id, line, count(*) AS n FROM shingles GROUP BY doc_id, line),
         common AS (SELECT x.doc_id, x.line, y.doc_id AS d, y.line AS l, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s
                    WHERE (y.doc_id, y.line) < (x.doc_id, x.line) GROUP BY ALL),

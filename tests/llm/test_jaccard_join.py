@@ -59,11 +59,32 @@ def test_repeated_rows_ids_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, a), (1, a), (1, b), (None, b), (3, "x " * 300_000)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard_join.link(rows).na.fill(-9).collect()))
     assert got == [(-9, -1, 1), (1, -1, 1), (1, 1, 1), (1, 1, 1), (3, 3, 0)]
-    # id 1 is the least of its own class of "a" texts, so rows of that name stay whatever their text, each text once
-    assert sorted((r.doc_id or 0, r.text[:1]) for r in jaccard_join.deduplicate(rows).collect()) == [(0, "b"), (1, "a"), (1, "b"), (3, "x")]
+    # one row of each class stays, though ids repeat and one is null
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in jaccard_join.deduplicate(rows).collect()) == [(0, "b"), (1, "a"), (3, "x")]
     assert jaccard_join.link(rows.limit(0)).count() == 0 and jaccard_join.deduplicate(rows.limit(0)).count() == 0
 
 
+def test_rows_without_ids_meet_their_own_class_only(spark, monkeypatch):
+    """A class's text is one row's, found by its number: rows that share an id, or have none, are not read for other classes."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for _ in range(60):
+        own = [rng.choice(words) for _ in range(60)]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"]), " ".join(own)]
+    read = []
+    exact = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda members, threshold: read.append(members.count()) or exact(members, threshold))
+    for ids in ([None] * len(texts), [5] * len(texts)):
+        rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        got = jaccard_join.link(rows).collect()
+        assert [r.n_links for r in got] == [2] * len(texts)
+        assert read.pop() == 120  # classes of equal sets
+        kept = {r.text for r in jaccard_join.deduplicate(rows).collect()}
+        assert len(kept) == 60 and all(len(kept & set(texts[k : k + 3])) == 1 for k in range(0, len(texts), 3))
+        read.clear()
+
+
 def test_components(spark):
     rng = random.Random(1)
     chain = [(k, k + 1) for k in range(100, 160)]

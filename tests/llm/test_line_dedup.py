@@ -9,8 +9,9 @@ from calltide.llm import line_dedup
 
 
 def shingle_set(line: str) -> frozenset:
+    """Five-word shingles; fewer words are one token."""
     words = re.findall("[0-9a-z\x80-\U0010ffff]+", line.lower())
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
 def brute(docs: list[tuple]) -> dict[tuple, list[int]]:
@@ -84,27 +85,12 @@ def test_only_native_operations(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def brute_with_short(docs: list[tuple]) -> dict[tuple, list[int]]:
-    seen, out = [], {}
-    for doc_id, text in docs:
-        removed = []
-        for k, line in enumerate(text.split("\n")):
-            words = tuple(re.findall("[0-9a-z\x80-\U0010ffff]+", line.lower()))
-            s = shingle_set(line) or frozenset({words} if words else ())
-            if s:
-                if any(100 * len(s & t) >= 80 * len(s | t) for t in seen):
-                    removed.append(k)
-                seen.append(s)
-        out[doc_id] = removed
-    return out
-
-
 def test_short_lines(spark):
     docs = corpus(7, 60) + [(400, "Read more\n\none, TWO\n--\nread"), (401, "read  MORE!\n\n--\nread more now\none two\none two three four five"), (402, "read")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = brute_with_short(docs)
+    want = brute(docs)
     assert want[401] == [0, 4] and want[402] == [0]
-    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df, short_lines=True).collect()} == want
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == want
 
 
 def test_pipeline_stage_takes_short_lines(spark):
