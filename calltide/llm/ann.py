@@ -26,8 +26,8 @@ from calltide.llm.common import bound_batches, materialize
 
 #: Vectors of the fitting sample, by least hash of the id: some MB on the driver.
 SAMPLE = 16_384
+#: Vectors a cell, as long as the sample has eight for each cell; beyond that cells are larger and are cut into more blocks.
 CELL_VECTORS = 16_384
-MOST_CELLS = 1024
 CENTRES = 16
 SUBSPACE = 2
 #: Weight of parallel against orthogonal residual error, (d - 1) t^2 / (1 - t^2) at the threshold t.
@@ -148,7 +148,7 @@ def fit(sample: np.ndarray, vectors: int, k: int, seed: int = 5) -> Quantiser:
     """A quantiser for about ``vectors`` vectors from a sample of them; deterministic."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    cells = _k_means(sample, int(np.clip(vectors // CELL_VECTORS, 1, min(MOST_CELLS, max(1, len(sample) // 8)))), rng)
+    cells = _k_means(sample, int(np.clip(vectors // CELL_VECTORS, 1, max(1, len(sample) // 8))), rng)
     at = _nearest(sample, cells)
     width = -(-d // (2 * SUBSPACE)) * 2 * SUBSPACE
     pad = lambda x: np.pad(x, ((0, 0), (0, width - d)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import bound_batches
+from calltide.llm.common import bound_batches, drop_table, materialize
 from calltide.llm.textvec import U64, codepoints, slices, text_column
 
 BUCKETS = 1 << 14
@@ -22,8 +22,10 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: About so many labelled documents are counted, chosen by a hash of their id.
 TRAIN_DOCS = 20_000
-#: More distinct labels than this are not languages; training refuses them, so that the matrix stays below 64 MB.
+#: Languages of a model, so that its matrix stays at some 130 MB: of more labels those of most documents are learned.
 MOST_LANGUAGES = 1000
+#: Labels whose counts a task holds at once (128 KB each).
+LABELS_AT_ONCE = 256
 UNDETERMINED = "und"
 #: Elements of one gather of log-probabilities.
 GATHER = 1 << 22
@@ -74,7 +76,8 @@ class LanguageModel:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by: str = "doc_id", train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Count n-grams of about ``train_docs`` rows (all of them, if there are fewer), chosen by a hash of ``sample_by``.
 
-    Rows with a null label, or a null or empty text, teach nothing. Without any row the model knows no language.
+    Rows with a null label, or a null or empty text, teach nothing. Without any row the model knows no language. Of more
+    than MOST_LANGUAGES labels those of most rows are learned (of equals the first by name); rows of others teach nothing.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
@@ -86,25 +89,35 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, held in counts.items():
+                at = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(held[at], docs[name]), pa.int64())], ["lang", "bucket", "n"]
+                )
+            counts.clear()
+            docs.clear()
+
         for batch in batches:
             texts, langs = text_column(batch, "text"), batch.column("lang").to_pylist()
-            for name in set(langs):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == name]
+            own_texts: dict[str, list[str]] = {}
+            for t, x in zip(texts, langs, strict=True):
+                own_texts.setdefault(x, []).append(t)
+            for name, own in own_texts.items():
+                if name not in counts and len(counts) >= LABELS_AT_ONCE:
+                    yield from told()
                 docs[name] = docs.get(name, 0) + len(own)
                 held = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                 for i, j in slices(np.array([len(t) for t in own], np.int64)):
                     for _, bucket in grams(own[i:j]):
                         held += np.bincount(bucket, minlength=BUCKETS)
-        for name, held in counts.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(held[at], docs[name]), pa.int64())], ["lang", "bucket", "n"]
-            )
-
-    summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = summed.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(packed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} distinct labels in {lang}")
+        yield from told()
+
+    summed = materialize(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    learned = summed.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    packed = summed.join(F.broadcast(learned), "lang", "left_semi").groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").collect()
+    drop_table(summed)
     matrix, prior = np.zeros((BUCKETS + 1, len(packed))), np.zeros(len(packed))
     for k, row in enumerate(packed):
         matrix[np.array(row.buckets), k] = row.ns  # bucket -1 is the last row: the documents

@@ -26,8 +26,10 @@ THRESHOLD = 0.75
 LINES_AFTER = 5
 #: Distinct directories up to which their licences are broadcast to the files.
 BROADCAST_DIRECTORIES = 200_000
-#: Names of licence files, without extension, in lower case.
+#: Names of licence files, in lower case.
 LICENCE_FILES = ("license", "licence", "copying", "copyright", "unlicense")
+#: Besides such a name with any extension, words or versions may follow it or stand before it: LICENSE-MIT, MIT-LICENSE.txt, LICENSE_1_0.txt.
+LICENCE_NAME = r"(?i)(?:^|/)(?:{0}(?:\.[^/]*)?|(?:{0}(?:[-_][a-z0-9+]+(?:\.[0-9]+)*)+|[a-z0-9+]+(?:[-_.][a-z0-9+]+)*[-_]{0})(?:\.(?:txt|md|rst|html))?)$".format(f"(?:{'|'.join(LICENCE_FILES)})")
 #: A line with one of these words may begin a licence header; `gate` adds what the templates need besides.
 LICENCE_WORDS = ("license", "licensed", "licence", "licenced", "copyright", "spdx", "gpl", "lgpl", "agpl", "unlicense", "copying", "redistribution", "permission", "dedicated")
 #: Well-known headers and notices, by SPDX id.
@@ -164,8 +166,8 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def _base_name(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"([^/.]*)(?:\.[^/]*)?$", 1))
+def _is_licence_file(path: Column) -> Column:
+    return path.rlike(LICENCE_NAME)
 
 
 def own_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,25 +197,25 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text", keep:
                     scores.append(best[1] if found else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-2]), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-2], "own_license", "own_score"])
 
-    chosen = files.select(*keep, F.col(path).alias("path"), _base_name(F.col(path)).isin(*LICENCE_FILES).alias("__whole"), F.col(text).alias("__text"))
+    chosen = files.select(*keep, F.col(path).alias("path"), _is_licence_file(F.col(path)).alias("__whole"), F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-2])
     return chosen.mapInArrow(run, f"{fields}, own_license string, own_score double")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
-    """Add ``license``, ``origin`` (header, file, inherited or null) and ``licensed_by`` (the directory it comes from).
+    """Add ``license``, ``origin`` (header, file, inherited or null), ``licensed_by`` (the directory it comes from) and ``licenses``.
 
-    A directory's licence is that of its licence file; of several the best score, then the first by licence and path. A
-    directory with a third of all files meets its licence in a broadcast or in a join that can be split. Files without
+    A directory's licence is that of its licence file; of several the best score, then the first by licence and path, while
+    ``licenses`` has all of them by name (of a file with a licence of its own, that one; without any, none). A directory with a third of all files meets its licence in a broadcast or in a join that can be split. Files without
     path belong to no directory.
     """
-    licence_file = _base_name(F.col("path")).isin(*LICENCE_FILES)
+    licence_file = _is_licence_file(F.col("path"))
     best = F.min_by(F.col("own_license"), F.struct(-F.col("own_score"), "own_license", "path"))
-    licensed = scanned.where(licence_file & F.col("own_license").isNotNull()).groupBy(_directory(F.col("path")).alias("ancestor")).agg(best.alias("license"))
+    licensed = scanned.where(licence_file & F.col("own_license").isNotNull()).groupBy(_directory(F.col("path")).alias("ancestor")).agg(best.alias("license"), F.sort_array(F.collect_set("own_license")).alias("licenses"))
     directories = scanned.where("path IS NOT NULL").select(_directory(F.col("path")).alias("directory")).distinct()
     parts = F.split("directory", "/")
     upward = directories.select("directory", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("ancestor")))).alias("a")).select("directory", "a.*")
-    nearest = upward.join(licensed, "ancestor").groupBy("directory").agg(F.max_by(F.struct("license", "ancestor"), "depth").alias("__near"))
+    nearest = upward.join(licensed, "ancestor").groupBy("directory").agg(F.max_by(F.struct("license", "ancestor", "licenses"), "depth").alias("__near"))
     nearest = materialize(nearest.withColumnRenamed("directory", "__directory"))
     near = F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest
     joined = scanned.withColumn("__directory", _directory(F.col("path"))).join(near, "__directory", "left").drop("__directory")
@@ -221,7 +223,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     return joined.select(
         *(f"`{c}`" for c in scanned.columns), F.coalesce("own_license", "__near.license").alias("license"),
         F.when(own & licence_file, "file").when(own, "header").when(F.col("__near").isNotNull(), "inherited").alias("origin"),
-        F.when(~own, F.col("__near.ancestor")).alias("licensed_by"),
+        F.when(~own, F.col("__near.ancestor")).alias("licensed_by"), F.when(own, F.array("own_license")).otherwise(F.coalesce("__near.licenses", F.array().cast("array<string>"))).alias("licenses"),
     )
 
 

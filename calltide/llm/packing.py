@@ -31,13 +31,13 @@ ROUNDS = 2
 POPULATION = 4
 GENERATIONS = 6
 ELITES = 2
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long"
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, doc_id: str = "doc_id") -> DataFrame:
     """One row per piece of each document: its ids and then id 1, cut every ``capacity`` ids.
 
-    A null text is an empty one (its only token is id 1). Repeated rows give repeated pieces. ``with_ids`` adds the ids
+    A null text is an empty one (its only token is id 1). Repeated rows give repeated pieces; ids may be of any type. ``with_ids`` adds the ids
     themselves (array<int>) for those who write the sequences out.
     """
     bound_batches(docs.sparkSession)
@@ -54,12 +54,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacit
                     for piece, start in enumerate(range(0, len(own), capacity)):
                         part = own[start : start + capacity]
                         rows.append((doc_ids[i + k], piece, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+                kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, {PIECE_FIELDS}" + (", ids array<int>" if with_ids else ""))
 
 
 # One shard, in arrays. A solution is an array that gives each piece's bin.
@@ -156,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     An ``ids`` column, where there is one, stays with its piece.
     """
     whole = materialize(pieces.withColumn("row", F.monotonically_increasing_id()))
-    facts = [f.split(" ")[0] for f in PIECE_SCHEMA.split(", ")]
+    facts = ["doc_id", *(f.split(" ")[0] for f in PIECE_FIELDS.split(", "))]
     n = whole.count()
     shards = max(1, -(-n // shard_pieces))
     dealt = whole.select(*facts, "row").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
@@ -199,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         moved = state.repartition(tasks, "shard", "island").groupBy("shard", "island")
         state = materialize(on_islands.groupBy("shard", "island").cogroup(moved).applyInPandas(migrate(round_), state_schema))
         drop_table(before)
-    placed_schema = PIECE_SCHEMA + ", row long, sequence_id long, offset long"
+    placed_schema = f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, {PIECE_FIELDS}, row long, sequence_id long, offset long"
     placed = small.repartition(tasks, "shard").groupBy("shard").cogroup(state.repartition(tasks, "shard").groupBy("shard")).applyInPandas(place, placed_schema)
     full = dealt.where(F.col("length") >= capacity).drop("shard").withColumns({"sequence_id": -F.col("row") - 1, "offset": F.lit(0).cast("long")})
     out = placed.unionByName(full)
@@ -213,6 +213,6 @@ def assemble_sequences(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, doc_id: str = "doc_id") -> DataFrame:
     """Tokenise, cut and pack; see ``tokenize_pieces`` and ``pack``."""
-    return pack(tokenize_pieces(docs, tokenizer, text, capacity), capacity)
+    return pack(tokenize_pieces(docs, tokenizer, text, capacity, doc_id=doc_id), capacity)

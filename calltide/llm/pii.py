@@ -164,10 +164,11 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id and ``spans`` array<struct<kind,start,end,score>>; offsets in code points, end exclusive.
 
-    A null or empty text has no spans. Each row is taken on its own, so repeated rows and ids give repeated results.
+    A null or empty text has no spans. Each row is taken on its own, so repeated rows and ids give repeated results;
+    ids may be null or of any type.
     """
     bound_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -177,8 +178,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [[s._asdict() for s in scan(t)] if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long, score double>>")
+    chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind string, start long, end long, score double>>")
 
 
 def redact(text: str) -> str:
@@ -191,12 +192,12 @@ def redact(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def summary(docs: DataFrame, text: str = "text") -> DataFrame:
+def summary(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Counts by base kind, a digest of the base spans and the list of all spans, one row per document."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find(docs, text).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return find(docs, text, doc_id).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def digest(spans: list[Span]) -> str:

@@ -66,3 +66,12 @@ def test_parallel_error_weighs_more():
         return ((error * ann._unit(x)).sum(axis=1) ** 2).mean()
 
     assert parallel(aware, 8.0) < 0.7 * parallel(plain, 1.0)
+
+
+def test_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    local = rows.where("embedding IS NOT NULL").collect()
+    ids, x = np.array([r.vec_id for r in local]), np.array([r.embedding for r in local], float)
+    got, want = rows_of(ann.search(rows, F.col("vec_id") % 20 == 0).collect()), brute(ids, x, 20)
+    assert got.keys() == want.keys()
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)

@@ -81,3 +81,19 @@ def test_whole_licence_files(spark):
     got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(df, templates=texts).collect()}
     assert {k: got[k] for k in range(2 * len(names))} == {k: (names[k // 2], "file") for k in range(2 * len(names))}
     assert got[100] == (None, None) and got[101] == ("Apache-2.0", "inherited")
+
+
+def test_names_of_licence_files(spark):
+    yes = ["LICENSE", "a/license.txt", "a/b/LICENSE-MIT", "LICENSE-APACHE", "x/MIT-LICENSE", "MIT-LICENSE.txt", "LICENSE_1_0.txt", "LICENSE-APACHE-2.0.md", "COPYING.LESSER", "apache-2.0-license", "Unlicense"]
+    no = ["licenses.py", "a/LICENSE/readme", "license-checker.js", "relicense", "mylicense", "test_license_parser.py", "", None]
+    df = spark.createDataFrame([(x,) for x in [*yes, *no]], "path string")
+    assert [r.path for r in df.where(licenses._is_licence_file(df.path)).collect()] == yes
+
+
+def test_a_directory_under_two_licences(spark):
+    texts = licenses.all_templates()
+    files = [(1, "r/LICENSE-MIT", texts["MIT"][-1]), (2, "r/LICENSE-APACHE", texts["Apache-2.0"][-1]), (3, "r/src/a.rs", "code"), (4, "r/src/b.rs", "Released under the BSD 2-Clause License."), (5, "q/c.rs", "code")]
+    got = {r.doc_id: (r.license, r.origin, r.licenses) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), templates=texts).collect()}
+    assert got[1] == ("MIT", "file", ["MIT"]) and got[2] == ("Apache-2.0", "file", ["Apache-2.0"])
+    assert got[3][0] in ("MIT", "Apache-2.0") and got[3][1:] == ("inherited", ["Apache-2.0", "MIT"])
+    assert got[4] == ("BSD-2-Clause", "header", ["BSD-2-Clause"]) and got[5] == (None, None, [])

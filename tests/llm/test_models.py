@@ -132,3 +132,15 @@ def test_quality_training_takes_one_row_per_key_and_label(spark):
     model = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), train_docs=60)
     again = quality.train(spark.createDataFrame(docs[::-1], "doc_id long, text string"), spark.createDataFrame(labels[::-1], "doc_id long, quality int"), train_docs=60)
     assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold
+
+
+def test_more_labels_than_a_model_holds(spark, monkeypatch):
+    """Those of most rows are learned, of equals the first by name; counts are flushed when a task meets many labels."""
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    rows = [(i, f"{'abcdefghijklmnop'[i % 16] * 3} text", f"l{i % 16:02}") for i in range(160)] + [(200 + i, "zzz text", "often") for i in range(20)] + [(300, "q", "l15")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.languages == ["l00", "l15", "often"]
+    monkeypatch.setattr(language, "LABELS_AT_ONCE", 2)
+    again = language.train(df)
+    assert again.languages == model.languages and (again.log_probability == model.log_probability).all() and (again.log_prior == model.log_prior).all()

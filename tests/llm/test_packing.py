@@ -98,3 +98,10 @@ def test_added_tokens_are_those_of_the_unaltered_library(spark):
     for k, own in enumerate(want):
         part = [*own, 1][:4096]
         assert got[k] == (len(part), zlib.crc32(np.array(part, "<u4").tobytes())), MARKED[k]
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one text"), (None, None), ("b", "x " * 9000)], "doc_id string, text string")
+    got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"))
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert {r.doc_id for r in got.collect()} == {"a", None, "b"}

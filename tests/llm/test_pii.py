@@ -138,3 +138,8 @@ def test_ibans_before_capitals_and_numbers(text, want):
 def test_time_of_ibans_is_linear():
     for text in ("AB12 " * 200_000, "DE89 3704 0044 0532 0130 00 " * 40_000, "ZZ12" + " A" * 500_000):
         pii.scan(text)
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "x@y.zz"), (None, None)], "name string, text string")
+    assert sorted((r.doc_id or "", r.n_email) for r in pii.summary(df, doc_id="name").collect()) == [("", 0), ("a", 1)]
