@@ -208,13 +208,16 @@ def rare_tokens(spark, load):
     return relevance.rare_tokens(load("documents"), "text")
 
 
-@query(f"""
+_RELEVANCE = f"""
     WITH e AS (SELECT doc_id, doc_id % 50 AS age, unnest({_TOKENS}) AS token FROM documents), q AS (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark),
     rare AS (SELECT token FROM e GROUP BY token HAVING count(*) / (SELECT count(*) FROM documents) < 0.1),
     o AS (SELECT item_id, doc_id, any_value(age) AS age, count(*) AS n FROM q JOIN rare USING (token) JOIN e USING (token) GROUP BY item_id, doc_id),
     s AS (SELECT item_id, doc_id, n * greatest(0.0::DOUBLE, 1.0::DOUBLE - age / 30.0::DOUBLE) AS score FROM o),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 2)
-    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 3""")
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 3"""
+
+
+@query(_RELEVANCE)
 def relevance_topk(spark, load):
     return relevance.rank(load("benchmark"), load("documents"), "item_id", "text", "doc_id", "text", F.col("doc_id") % 50, min_score=2.0)
 
