@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from calltide.operators import postings
+from calltide.operators import gates, intime, postings
 from calltide.plans import registry
 from calltide.plans.registry import query
 from calltide.sources.scratch import scratch
@@ -21,3 +21,46 @@ def relevance_indexed(spark, load):
     for part in ("doc_id % 3 = 0", "NOT coalesce(doc_id % 3 = 0, false)"):
         postings.append(timed.where(part), path, "doc_id", "text", "time")
     return postings.search(spark, path, load("benchmark"), "item_id", "text", now, entry_key="doc_id", min_score=2.0)
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, ts, event_type = 'purchase' AS mine, CAST(value AS DECIMAL(28,8)) AS cost, {registry._K} AS k FROM events),
+    w AS (SELECT event_id AS seq, ts, mine, count(*) FILTER (mine) OVER week AS wrapped_calls, CAST(sum(cost) FILTER (mine) OVER week AS DOUBLE) / count(cost) FILTER (mine) OVER week AS wrapped_avg,
+              count(*) OVER week AS baseline_calls, CAST(sum(cost) OVER week AS DOUBLE) / count(cost) OVER week AS baseline_avg,
+              CAST(coalesce(sum(CAST(k * 0.001 AS DECIMAL(28,8))) FILTER (mine) OVER week, 0) AS DOUBLE) AS hours
+          FROM e WINDOW week AS (ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)),
+    f AS (SELECT event_id AS seq, count(*) OVER five AS last_rows, count(*) FILTER (k % 2 = 0) OVER five AS flagged FROM e WHERE mine WINDOW five AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    r AS (SELECT *, CASE WHEN wrapped_avg <> 0 AND baseline_avg > 0 THEN wrapped_avg / baseline_avg END AS ratio FROM w JOIN f USING (seq)),
+    s AS (SELECT *, CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio > 1.5 THEN 'abort' WHEN ratio > 1.35 THEN 'warn' ELSE 'ok' END AS ratio_status,
+              CASE WHEN last_rows < 5 THEN 'unknown' WHEN flagged < 2 THEN 'abort' WHEN flagged = 2 THEN 'warn' ELSE 'ok' END AS flag_status,
+              CASE WHEN hours > 2.0 THEN 'abort' WHEN hours > 1.8 THEN 'warn' ELSE 'ok' END AS hours_status FROM r)
+    SELECT seq, ts, wrapped_calls, wrapped_avg, baseline_calls, baseline_avg, ratio, ratio_status, CAST(last_rows AS INT) AS last_rows, CAST(flagged AS INT) AS flagged, flag_status, hours, hours_status,
+           CASE WHEN 'abort' IN (ratio_status, flag_status, hours_status) THEN 'ABORT' WHEN ratio_status <> 'ok' OR flag_status <> 'ok' OR hours_status <> 'ok' THEN 'EXTEND' ELSE 'CONTINUE' END AS verdict FROM s""")
+def gate_history(spark, load):
+    e = load("events")
+    told = gates.history(registry._metrics(e), registry._baseline(e))
+    return told.select("seq", "ts", "wrapped_calls", "wrapped_avg", "baseline_calls", "baseline_avg", "ratio", "ratio_status", "last_rows", "flagged", "flag_status", "hours", "hours_status", "verdict")
+
+
+_METRIC = "event_type IN ('click', 'purchase')"
+
+
+@query(f"""
+    WITH c AS (SELECT event_id, user_id, ts, event_type FROM events WHERE NOT {_METRIC}),
+    m AS (SELECT user_id, ts, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events WHERE {_METRIC} GROUP BY user_id, ts)
+    SELECT event_id, c.user_id, event_type, CASE WHEN c.ts - m.ts <= INTERVAL 12 HOURS THEN seq END AS metric_id, CASE WHEN c.ts - m.ts <= INTERVAL 12 HOURS THEN value END AS metric_value
+    FROM c ASOF LEFT JOIN m ON c.user_id = m.user_id AND c.ts >= m.ts""")
+def calls_metrics_asof(spark, load):
+    e = load("events")
+    metrics = e.where(_METRIC).select("user_id", "ts", F.col("event_id").alias("seq"), "value")
+    joined = intime.asof_join(e.where(f"NOT {_METRIC}").select("event_id", "user_id", "ts", "event_type"), metrics, by=["user_id"], tolerance_us=12 * intime.HOUR_US)
+    return joined.select("event_id", "user_id", "event_type", F.col("m.seq").alias("metric_id"), F.col("m.value").alias("metric_value"))
+
+
+@query(f"""
+    SELECT c.event_id, m.event_id AS metric_id, epoch_us(m.ts) - epoch_us(c.ts) AS apart FROM events c JOIN events m ON c.user_id = m.user_id AND m.ts BETWEEN c.ts - INTERVAL 6 HOURS AND c.ts + INTERVAL 2 HOURS
+    WHERE c.event_type = 'view' AND m.{_METRIC}""")
+def calls_metrics_interval(spark, load):
+    e = load("events").select("event_id", "user_id", "ts", "event_type")
+    met = intime.interval_join(e.where("event_type = 'view'"), e.where(_METRIC), 6 * intime.HOUR_US, 2 * intime.HOUR_US, by=["user_id"])
+    return met.select("event_id", F.col("m.event_id").alias("metric_id"), (intime.micros(F.col("m.ts")) - intime.micros("ts")).alias("apart"))
