@@ -31,6 +31,21 @@ def condition_means(responses: DataFrame, by: Sequence[str], text: str = "respon
     )
 
 
+def condition_cube(responses: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]], total_over: str, text: str = "response", markers: Sequence[str] = SCORE_MARKERS) -> DataFrame:
+    """(dims, level, mean_score, mean_hits, n, delta): means of all grouping sets in one pass over the responses.
+
+    ``level`` is the grouping id: a bit for each of ``dims`` that the row sums over, the last one lowest, which tells a total
+    from a group of null. ``delta`` is the mean score less that of the total over ``total_over``, where that set is asked for.
+    """
+    grouped = responses.groupingSets([[F.col(c) for c in own] for own in sets], *dims)
+    score, hits, n = F.sum(capped_score(text, markers)), F.sum(marker_hits(text, markers)), F.count(F.lit(1))
+    cells = grouped.agg(F.grouping_id().alias("level"), (score / n).alias("mean_score"), (hits / n).alias("mean_hits"), n.alias("n"))
+    bit = 1 << (len(dims) - 1 - list(dims).index(total_over))
+    key = F.struct(F.col("level").bitwiseOR(F.lit(bit)).alias("level"), *(F.col(c) for c in dims if c != total_over)).alias("__of")
+    totals = cells.where(F.col("level").bitwiseAND(F.lit(bit)) != 0).select(key, F.col("mean_score").alias("__total"))
+    return cells.withColumn("__of", key).join(totals, "__of", "left").select(*dims, "level", "mean_score", "mean_hits", "n", (F.col("mean_score") - F.col("__total")).alias("delta"))
+
+
 def condition_pivot(responses: DataFrame, variants: Sequence[str], conditions: Sequence[str] = CONDITIONS, text: str = "response", markers: Sequence[str] = SCORE_MARKERS) -> DataFrame:
     """One row per condition in the given order: mean hits of each variant (0 of none) and its difference to the first."""
     hits = marker_hits(text, markers)

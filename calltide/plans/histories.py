@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from calltide.operators import gates, intime, postings
+from calltide.operators import evaluate, expansion, gates, intime, postings, reconcile, sketches
 from calltide.plans import registry
 from calltide.plans.registry import query
 from calltide.sources.scratch import scratch
@@ -64,3 +64,80 @@ def calls_metrics_interval(spark, load):
     e = load("events").select("event_id", "user_id", "ts", "event_type")
     met = intime.interval_join(e.where("event_type = 'view'"), e.where(_METRIC), 6 * intime.HOUR_US, 2 * intime.HOUR_US, by=["user_id"])
     return met.select("event_id", F.col("m.event_id").alias("metric_id"), (intime.micros(F.col("m.ts")) - intime.micros("ts")).alias("apart"))
+
+
+_STATES = """
+    WITH e AS (SELECT event_id, user_id, event_type, value FROM events), o AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 5 = 0),
+    kept AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM e WHERE event_id % 11 <> 0),
+    n AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE event_id % 3 = 0 UNION ALL SELECT 10000000 + event_id, user_id, event_type, value FROM e WHERE event_id % 17 = 0)
+"""
+
+
+def _states(load):
+    """Two states of a log: rows of the first go, change, repeat more or less often, and new ones come."""
+    e = load("events").select("event_id", "user_id", "event_type", "value")
+    kept = e.where("event_id % 11 <> 0").withColumn("value", F.expr("CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END"))
+    new = kept.unionByName(kept.where("event_id % 3 = 0")).unionByName(e.where("event_id % 17 = 0").withColumn("event_id", F.col("event_id") + 10_000_000))
+    return e.unionByName(e.where("event_id % 5 = 0")), new
+
+
+@query(_STATES + """, gone AS (SELECT *, count(*) AS c FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY ALL), came AS (SELECT *, count(*) AS c FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY ALL),
+    g AS (SELECT event_id, sum(c) AS c FROM gone GROUP BY event_id), h AS (SELECT event_id, sum(c) AS c FROM came GROUP BY event_id), u AS (SELECT event_id FROM g JOIN h USING (event_id) WHERE g.c = 1 AND h.c = 1)
+    SELECT 'update' AS op, event_id AS key, gone.value AS old_value, came.value AS new_value, CAST(1 AS BIGINT) AS copies FROM u JOIN gone USING (event_id) JOIN came USING (event_id)
+    UNION ALL SELECT 'delete', event_id, value, NULL, c FROM gone WHERE event_id NOT IN (SELECT event_id FROM u)
+    UNION ALL SELECT 'insert', event_id, NULL, value, c FROM came WHERE event_id NOT IN (SELECT event_id FROM u)""")
+def log_changes(spark, load):
+    return reconcile.change_feed(*_states(load), "event_id").select("op", "key", F.col("before.value").alias("old_value"), F.col("after.value").alias("new_value"), "copies")
+
+
+@query(_STATES + "SELECT * FROM n")
+def log_reapplied(spark, load):
+    """The new state again, made of the old one and the feed."""
+    old, new = _states(load)
+    return reconcile.apply_feed(old, reconcile.change_feed(old, new, "event_id"))
+
+
+@query(f"""
+    WITH r AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'forgetting' ELSE 'strategic' END AS kind, lang AS condition, source AS variant, {registry._hits(registry.MARKERS)} AS hits FROM documents),
+    c AS (SELECT kind, condition, variant, grouping_id(kind, condition, variant) AS level, sum(least(hits / 4.0::DOUBLE, 1.0::DOUBLE)) / count(*) AS mean_score, sum(hits) / count(*) AS mean_hits, count(*) AS n
+          FROM r GROUP BY GROUPING SETS ((kind, condition, variant), (kind, condition), (kind, variant), (kind), ()))
+    SELECT c.kind, c.condition, c.variant, c.level, c.mean_score, c.mean_hits, c.n, c.mean_score - t.mean_score AS delta
+    FROM c LEFT JOIN c t ON t.level = (c.level | 1) AND t.kind IS NOT DISTINCT FROM c.kind AND t.condition IS NOT DISTINCT FROM c.condition""")
+def score_cube(spark, load):
+    rows = load("documents").select(F.expr("CASE WHEN doc_id % 5 = 0 THEN 'forgetting' ELSE 'strategic' END").alias("kind"), F.col("lang").alias("condition"), F.col("source").alias("variant"), "text")
+    dims = ["kind", "condition", "variant"]
+    return evaluate.condition_cube(rows, dims, [dims, ["kind", "condition"], ["kind", "variant"], ["kind"], []], "variant", text="text", markers=registry.MARKERS)
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+    SELECT d.day, count(*) AS calls, count(DISTINCT user_id) AS users, TRUE AS users_close, TRUE AS medians_close, TRUE AS tails_close
+    FROM d JOIN events e ON CAST(e.ts AS DATE) BETWEEN d.day - 6 AND d.day GROUP BY d.day""")
+def weekly_sketches(spark, load):
+    """For the week that ends with each day: exact counts, and whether the merged sketches are within their bounds of them."""
+    e = load("events").select("ts", "user_id", "value", F.to_date("ts").alias("day"))
+    told = sketches.merged(sketches.daily(e, "ts", F.col("user_id"), F.col("value")), 7)
+    told = told.select("day", "calls", sketches.distinct_estimate().alias("about"), sketches.quantile_estimate(0.5).alias("half"), sketches.quantile_estimate(0.95).alias("most"))
+    weeks = e.withColumn("end", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.date_add("day", k)))).drop("day")
+    met = weeks.join(F.broadcast(told), weeks["end"] == told["day"])
+    share = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    exact = met.groupBy("day", "calls", "about").agg(F.countDistinct("user_id").alias("users"), share("half").alias("at_half"), share("most").alias("at_most"))
+    close = lambda c, p: F.abs(F.col(c) - p) <= sketches.RANK_ERROR + 1 / F.col("calls")
+    return exact.select("day", "calls", "users", (F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * sketches.DISTINCT_ERROR)).alias("users_close"), close("at_half", 0.5).alias("medians_close"), close("at_most", 0.95).alias("tails_close"))
+
+
+def sentences(text: str) -> list[str]:
+    """A callable in the place of a model: the sentences of a text; a text of one line fails."""
+    if "\n" not in text:
+        raise ValueError("one line only")
+    return [s.strip(" \n") for s in text.split(".") if s.strip(" \n")]
+
+
+@query("""
+    WITH c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations),
+    s AS (SELECT id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '') AS items FROM c WHERE contains(text, chr(10)))
+    SELECT id, CAST(k AS INT) AS place, items[k + 1] AS item, NULL AS error FROM (SELECT id, items, unnest(range(len(items))) AS k FROM s)
+    UNION ALL SELECT id, NULL, NULL, CASE WHEN text IS NULL THEN 'no text' ELSE 'ValueError: one line only' END FROM c WHERE text IS NULL OR NOT contains(text, chr(10))""")
+def seed_expansion(spark, load):
+    seeds = load("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return expansion.expand(seeds, "id", "text", sentences)
