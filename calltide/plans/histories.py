@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from calltide.operators import evaluate, expansion, gates, intime, postings, reconcile, sketches
-from calltide.plans import registry
+from calltide.plans import registry, surface
 from calltide.plans.registry import query
+from calltide.sources import calllog
 from calltide.sources.scratch import scratch
 
 
@@ -141,3 +142,48 @@ def sentences(text: str) -> list[str]:
 def seed_expansion(spark, load):
     seeds = load("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return expansion.expand(seeds, "id", "text", sentences)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def log_source(spark, load):
+    """Conversations written as a log by two jobs, and read from it."""
+    calllog.register(spark)
+    rows, path = load("conversations").select("conv_id", "turn", "role", "text"), scratch(spark, "log")
+    for part in ("turn % 2 = 0", "NOT coalesce(turn % 2 = 0, false)"):
+        rows.where(part).write.format("calllog").mode("append").save(path)
+    read = spark.read.format("calllog").option("path", path).load()
+    return calllog.fields(read, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", "text")
+
+
+def _installed(spark, load) -> None:
+    e = load("events")
+    called = load("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("label"), F.col("text").alias("query"), F.when(F.col("turn") % 2 == 1, F.upper("text")).alias("response"))
+    surface.install(spark, called, registry._metrics(e), registry._baseline(e))
+
+
+@query(f"""
+    WITH e AS (SELECT ts, event_type = 'purchase' AS mine, CAST(value AS DECIMAL(28,8)) AS cost, {registry._K} AS k FROM events), d AS (SELECT CAST(ts AS DATE) AS day, max(ts) AS moment FROM events GROUP BY ALL),
+    s AS (SELECT day, count(*) FILTER (mine) AS wrapped_calls, count(*) AS baseline_calls, CAST(sum(cost) FILTER (mine) AS DOUBLE) / nullif(count(cost) FILTER (mine), 0) AS a, CAST(sum(cost) AS DOUBLE) / nullif(count(cost), 0) AS b,
+                 CAST(coalesce(sum(CAST(k * 0.001 AS DECIMAL(28,8))) FILTER (mine), 0) AS DOUBLE) AS hours FROM d JOIN e ON e.ts >= d.moment - INTERVAL 3 DAYS AND e.ts <= d.moment GROUP BY day)
+    SELECT day, wrapped_calls, baseline_calls, ratio, hours, CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio > 1.02 THEN 'abort' WHEN ratio > 1.0 THEN 'warn' ELSE 'ok' END AS ratio_status
+    FROM (SELECT *, CASE WHEN a <> 0 AND b > 0 THEN a / b END AS ratio FROM s)""")
+def sql_gates(spark, load):
+    _installed(spark, load)
+    return spark.sql("""
+        SELECT d.day, g.* FROM (SELECT to_date(ts) AS day, max(ts) AS moment FROM calltide_baseline GROUP BY to_date(ts)) d,
+        LATERAL calltide_gates(moment => d.moment, days => 3, abort_above => 1.02, warn_above => 1.0) g""")
+
+
+@query("SELECT conv_id * 1000 + turn AS seq, role AS label FROM conversations WHERE contains(lower(text), 'tion d') OR contains(lower(role), 'tion d')")
+def sql_search(spark, load):
+    _installed(spark, load)
+    return spark.sql("SELECT seq, label FROM calltide_search(needle => 'TION D')")
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id * 1000 + turn AS seq, role AS label, text, row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn DESC) AS place FROM conversations)
+    SELECT label, CAST(place AS INT) AS place, seq, least({registry._hits(registry.MARKERS[:3])} / 3.0::DOUBLE, 1.0::DOUBLE) AS score FROM c WHERE place <= 25""")
+def sql_latest(spark, load):
+    _installed(spark, load)
+    markers = ", ".join(f"'{m}'" for m in registry.MARKERS[:3])
+    return spark.sql(f"SELECT l.label, l.place, l.seq, calltide_score(query, array({markers}), cap => 3) AS score FROM calltide_latest(per_label => 25) l JOIN calltide_calls USING (seq)")
