@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.functions.text import strings, strip
@@ -64,8 +64,8 @@ def load_page(calls: DataFrame, metrics: DataFrame, limit: int = 100, offset: in
 
 
 def lookup(rows: DataFrame, key: object, on: str = "timestamp", seq: str = "seq") -> DataFrame:
-    """The first row of the key by seq; no row where there is none."""
-    return rows.where(F.col(on) == F.lit(key)).orderBy(seq).limit(1)
+    """The first row of the key (a value, or a column of ``rows``) by seq; no row where there is none."""
+    return rows.where(F.col(on) == (key if isinstance(key, Column) else F.lit(key))).orderBy(seq).limit(1)
 
 
 def search(rows: DataFrame, text: str, columns: tuple[str, ...] = ("query", "label", "response")) -> DataFrame:

@@ -59,6 +59,17 @@ def health(spark: SparkSession, checks: Mapping[str, bool | str], campaigns_: Da
     return campaigns_.agg(F.count(F.lit(1)).alias("campaigns")).select(F.lit(not bad).alias("ok"), shown.alias("checks"), strings(bad).alias("issues"), "campaigns")
 
 
+def health_of(checks: DataFrame, key: str = "project") -> DataFrame:
+    """(key, ok, checks map, issues) of a table of checks (key, place, name, value): one row per project, which has a few checks.
+
+    A check fails where its value is "false" or begins with "missing"; issues are in the order of ``place``.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("place", "name", "value")))
+    bad = F.filter("__rows", lambda r: (r["value"] == "false") | r["value"].startswith("missing"))
+    held = checks.groupBy(key).agg(rows.alias("__rows"))
+    return held.select(key, (F.size(bad) == 0).alias("ok"), F.map_from_entries(F.transform("__rows", lambda r: F.struct(r["name"], r["value"]))).alias("checks"), F.transform(bad, lambda r: r["name"]).alias("issues"))
+
+
 def units(tasks: DataFrame) -> DataFrame:
     """One row per unit of both sides of tasks (blue, red arrays of structs), in their order."""
     side = lambda s: tasks.select(F.lit(s).alias("side"), F.posexplode(s).alias("place", "u")).select("side", "place", "u.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.text import messages, passes_anti_leakage, passes_quality, question_lines
 from calltide.functions.values import exact_sum
+from calltide.operators.intime import numbered
 from calltide.sources.readers import call_model
 
 
@@ -52,12 +53,30 @@ def chat_examples(pairs: DataFrame, query: str = "query", response: str = "respo
     return pairs.select(messages(query, response).alias("messages"))
 
 
+def seed_table(groups: DataFrame, group: str = "template", seeds: str = "seeds") -> DataFrame:
+    """(group, seed_idx, seed) of a table with an array of seeds per group, in the array's order."""
+    return groups.select(group, F.posexplode(seeds).alias("seed_idx", "seed"))
+
+
+def mix_order(key: str, seed: int = 42) -> list[Column]:
+    """An order that looks random and depends on key and seed only; equal keys stand together."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).asc_nulls_first(), F.col(key).asc_nulls_first()]
+
+
 def mix(*parts: DataFrame, key: str = "query", seed: int = 42) -> DataFrame:
     """All pairs of all parts in an order that looks random and is the same for the same rows and seed."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return out.orderBy(*mix_order(key, seed))
+
+
+def mixed(*parts: DataFrame, key: str = "query", seed: int = 42) -> DataFrame:
+    """The rows of ``mix`` with their ``place`` in it, from 0."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return numbered(out, mix_order(key, seed), "place")
 
 
 def tagged_union(strategic: DataFrame, forgetting: DataFrame, limit: int = 0) -> DataFrame:

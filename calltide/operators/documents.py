@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,20 @@ def _picture_heading(block: Column) -> Column:
 
 
 def promote_picture_text(md: Column | str) -> Column:
-    """Blocks of picture text as headings by their section number, others in bold: the text between blocks stays as it is."""
+    """Blocks of picture text as headings by their section number, others in bold: the text between blocks stays as it is.
+
+    Most texts have none, so the patterns run only over those with the words that begin a block.
+    """
+    return F.when(col(md).contains("Start of picture text"), _promoted(md)).otherwise(col(md))
+
+
+def _promoted(md: Column | str) -> Column:
     headings = F.transform(F.regexp_extract_all(col(md), F.lit(PICTURE_TEXT), F.lit(1)), lambda b: F.concat(_picture_heading(strip(b)), F.lit("\n\n")))
     return F.array_join(F.zip_with(F.split(col(md), PICTURE_TEXT), headings, lambda part, heading: F.concat(part, F.coalesce(heading, F.lit("")))), "")
 
 
-def _banner_shaped(line: Column) -> Column:
-    s = strip(line)
+def _banner_shaped(line: Column, stripped: bool = False) -> Column:
+    s = line if stripped else strip(line)
     return (s != "") & (F.length(s) <= BANNER_MOST_CHARS) & ~s.startswith("#") & ~s.startswith("**==>") & ~s.startswith("- ")
 
 
@@ -50,9 +58,13 @@ def clean_markdown(md: Column | str, repeats: int = BANNER_REPEATS) -> Column:
     have it ``repeats`` places on as well.
     """
     banners = lambda shaped: F.array_distinct(F.filter(shaped, lambda s, i: F.get(shaped, i + F.lit(repeats - 1)) == s))
-    sorted_banners = lambda parts: let(F.sort_array(F.transform(F.filter(parts, _banner_shaped), strip)), banners)
-    noise = lambda x, found: x.rlike(OMITTED_PICTURE) | strip(x).rlike(PAGE_NUMBER) | (_banner_shaped(x) & F.array_contains(found, strip(x)))
-    kept = let(lines(promote_picture_text(md)), lambda parts: let(sorted_banners(parts), lambda found: F.filter(parts, lambda x: ~noise(x, found))))
+    # each line is stripped once; only lines that begin like a picture's or a page number's meet the patterns
+    read = lambda x: let(strip(x), lambda s: F.struct(x.alias("x"), s.alias("s"), _banner_shaped(s, stripped=True).alias("shaped")))
+    sorted_banners = lambda parts: let(F.sort_array(F.transform(F.filter(parts, lambda p: p["shaped"]), lambda p: p["s"])), banners)
+    picture = lambda p: p["s"].startswith("**==>") & p["x"].rlike(OMITTED_PICTURE)
+    number = lambda p: (p["s"].startswith("Page ") | (F.length(p["s"]) <= 3)) & p["s"].rlike(PAGE_NUMBER)
+    noise = lambda p, found: picture(p) | number(p) | (p["shaped"] & F.array_contains(found, p["s"]))
+    kept = let(F.transform(lines(promote_picture_text(md)), read), lambda parts: let(sorted_banners(parts), lambda found: F.transform(F.filter(parts, lambda p: ~noise(p, found)), lambda p: p["x"])))
     return F.concat(strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")), F.lit("\n"))
 
 
@@ -100,6 +112,27 @@ def project_context(mission: str | None, tasks: str | None, turn_log: str | None
     return one.select(F.concat_ws("\n", *parts, "books").alias("context"))
 
 
+def project_contexts(projects: DataFrame, rules: DataFrame, key: str = "project") -> DataFrame:
+    """(key, context) of every row of ``projects`` (key, mission, tasks, turn_log), as ``project_context`` makes it of one.
+
+    ``rules`` are (key, name, text); a project's books are gathered, since its context is one text. Tasks that are no JSON
+    are left out, so are absent files; a project without any of it has an empty context.
+    """
+
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(indented_json)
+
+    books = rules.where(~F.col("name").endswith(".digest.md")).select(key, F.col("name").alias("book"), F.col("text").alias("__text"), F.regexp_replace("name", r"\.md$", "").alias("__stem"))
+    short = rules.where(F.col("name").endswith(".digest.md")).select(key, digest_parent("name").alias("__stem"), F.col("name").alias("__digest"), F.col("text").alias("__short"))
+    preferred = books.join(short, [key, "__stem"], "left")
+    section = F.concat(F.lit("### rules/"), F.coalesce("__digest", "book"), F.lit("\n\n"), F.coalesce("__short", "__text"), F.lit("\n"))
+    listed = preferred.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book", section.alias("section")))), lambda x: x["section"]), "\n").alias("__books"))
+    one = projects.withColumn("__tasks", F.pandas_udf(indented, "string")("tasks")).join(listed, key, "left")
+    part = lambda head, body, tail: F.concat(F.lit(head), body, F.lit(tail))
+    parts = [part("### MISSION.md\n\n", F.col("mission"), "\n"), part("### tasks.json\n\n```json\n", F.col("__tasks"), "\n```\n"), part("### turn-log.md\n\n", trim_turns("turn_log"), "\n"), F.nullif("__books", F.lit(""))]
+    return one.select(key, F.concat_ws("\n", *parts).alias("context"))
+
+
 def repeated_lines_by_window(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with their place and how often their document has them; for documents too long for one expression."""
     rows = docs.select(key, F.posexplode(lines(text)).alias("place", "line"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.functions.text import SCORE_MARKERS, capped_score, judge_outcome, judge_verdict, marker_hits
+from calltide.operators.intime import numbered
 
 CONDITIONS = ("gold", "student", "ablation", "vanilla")
 
@@ -87,7 +88,9 @@ def attribution(first: Column, second: Column, near: float = 0.2) -> Column:
 
 
 def with_index(rows: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = ()) -> DataFrame:
-    """``idx`` from 0 in order within each partition; without one all rows pass through one task."""
+    """``idx`` from 0 in order within each partition, or over all rows."""
+    if not partition:
+        return numbered(rows, order)
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1)
 
 

@@ -57,6 +57,21 @@ def rolling(points: DataFrame, point_id: str, time: str, series: Sequence[tuple[
     return points.select(F.col(point_id)).join(sums.withColumnRenamed("id", point_id), point_id, "left")
 
 
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "idx", chunk_rows: int = 100_000) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... in the order of ``order`` over all rows, without one task for them all.
+
+    Rows are dealt to chunks by ranges of the order and written so; each is numbered by itself, from the sum of those before
+    it (one row a chunk). Rows that tie in ``order`` are numbered in any order.
+    """
+    chunks = max(1, -(-rows.count() // chunk_rows))
+    exprs = [F.asc(o) if isinstance(o, str) else o for o in order]
+    dealt = written(rows.repartitionByRange(chunks, *exprs).withColumn("__chunk", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__chunk", F.coalesce(F.sum("__n").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__chunk").orderBy(*exprs)) - 1
+    return dealt.withColumn(name, within).join(F.broadcast(before), "__chunk").withColumn(name, (F.col(name) + F.col("__before")).cast("bigint")).drop("__chunk", "__before")
+
+
 def last_n(rows: DataFrame, order: Sequence[str], n: int, chunk_rows: int = 100_000) -> DataFrame:
     """Every row with ``last``, an array of the structs of the ``n`` rows that end with it in the order of ``order``, oldest first.
 

@@ -107,9 +107,10 @@ def seed_totals(spark, load):
     return distill.seed_totals(seeds)
 
 
-@query("SELECT * FROM (VALUES ('audit', 0, 'one'), ('audit', 1, 'two'), ('plan', 0, 'three')) AS t(template, seed_idx, seed)")
+@query("SELECT lang AS template, CAST(row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS INT) AS seed_idx, source AS seed FROM (SELECT DISTINCT lang, source FROM documents WHERE source IS NOT NULL)")
 def seed_rows(spark, load):
-    return distill.seed_rows(spark, {"audit": ["one", "two"], "plan": ["three"]})
+    groups = load("documents").groupBy(F.col("lang").alias("template")).agg(F.sort_array(F.collect_set("source")).alias("seeds"))
+    return distill.seed_table(groups)
 
 
 @query("""
@@ -177,23 +178,30 @@ def preamble_budget(spark, load):
     return load("orders").select("o_orderkey", relevance.preamble_budget(3500, F.col("o_orderkey") % 5000).alias("budget"))
 
 
-@query("SELECT doc_id, n_chars // 4 AS tokens FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars // 4 > 1000 THEN 'preamble token cap exceeded (' || n_chars // 4 || ' > 1000)' END AS error, CASE WHEN n_chars // 4 <= 1000 THEN n_chars // 4 END AS tokens FROM documents")
 def token_cap(spark, load):
-    return load("documents").select("doc_id", T.within_cap(F.floor(F.col("n_chars") / 4).cast("long"), 1 << 40).alias("tokens"))
+    counted = load("documents").select("doc_id", F.floor(F.col("n_chars") / 4).cast("long").alias("n")).withColumn("error", T.cap_error("n", 1000))
+    return counted.select("doc_id", "error", F.when(F.col("error").isNull(), T.within_cap("n", 1000)).alias("tokens"))
 
 
-@query("""SELECT i.item_id AS idx, CASE WHEN i.item_id % 2 = 0 THEN '{"idx":' || i.item_id || ',"response":null}' ELSE '{}' END AS row FROM benchmark i""")
+@query("""SELECT i.item_id AS idx, CASE WHEN d.doc_id IS NOT NULL AND d.doc_id % 3 <> 1 THEN '{"idx":' || i.item_id || ',"response":' || CASE WHEN d.doc_id % 3 = 0 THEN 'null' ELSE '"' || d.lang || '/' || d.source || '"' END || ',"n_chars":' || d.n_chars || '}' ELSE '{}' END AS row
+    FROM benchmark i LEFT JOIN documents d ON d.doc_id = i.item_id * 7""")
 def results_by_index(spark, load):
     prompts = load("benchmark").select(F.col("item_id").alias("idx"))
-    return evaluate.results_json(prompts, prompts.where("idx % 2 = 0").withColumn("response", F.lit(None).cast("string")))
+    answer = F.when(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit("/"), "source"))
+    results = load("documents").where("doc_id % 7 = 0 AND doc_id % 3 <> 1").select(F.expr("doc_id div 7").alias("idx"), answer.alias("response"), "n_chars")
+    return evaluate.results_json(prompts, results)
 
 
 @query("""
-    SELECT conv_id AS idx, turn, u.text AS query FROM conversations u WHERE role = 'user' AND turn % 5 <> 1 AND text <> ''""")
+    SELECT u.conv_id AS idx, u.turn, u.text AS query, a.text AS response_b FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+    WHERE u.role = 'user' AND u.turn % 5 <> 1 AND u.conv_id % 3 <> 0 AND u.text <> '' AND a.text <> '' AND a.conv_id % 4 <> 1""")
 def judged_pairs(spark, load):
-    u = load("conversations").where("role = 'user'")
-    side = u.select(F.struct("conv_id", "turn").alias("idx"), F.col("text").alias("query"), (F.col("turn") % 5 == 1).alias("is_forgetting"), F.col("text").alias("response"))
-    return evaluate.judged_pairs(side, side).select("idx.conv_id", "idx.turn", "query").withColumnRenamed("conv_id", "idx")
+    """The answers of two runs: each lacks prompts that the other has, and one has empty answers."""
+    side = lambda role, shift, response: load("conversations").where(F.col("role") == role).select(F.struct("conv_id", (F.col("turn") - shift).alias("turn")).alias("idx"), F.col("text").alias("query"), (F.col("turn") % 5 == 1).alias("is_forgetting"), response.alias("response"))
+    a = side("user", 0, F.col("text")).where("idx.conv_id % 3 <> 0")
+    b = side("assistant", 1, F.when(F.col("conv_id") % 4 == 1, "").otherwise(F.col("text"))).withColumn("is_forgetting", F.lit(None).cast("boolean"))
+    return evaluate.judged_pairs(a, b).select(F.col("idx.conv_id").alias("idx"), "idx.turn", "query", "response_b")
 
 
 @query("""
@@ -288,13 +296,32 @@ def campaign_folders(spark, load):
     return readers.campaigns(found, "5")
 
 
-@query("SELECT FALSE AS ok, 'sheets,writable' AS issues, count(*) AS campaigns FROM customer")
+@query("""
+    WITH c AS (SELECT c_nationkey AS project, count(*) AS n, min(c_acctbal) AS least, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY c_nationkey)
+    SELECT project, n % 2 = 0 AND least >= -900 AND segments >= 5 AS ok, array_to_string(list_filter([CASE WHEN n % 2 <> 0 THEN 'even' END, CASE WHEN least < -900 THEN 'solvent' END, CASE WHEN segments < 5 THEN 'segments' END], lambda x: x IS NOT NULL), ',') AS issues FROM c""")
 def health(spark, load):
-    one = campaign.health(spark, {"pdf": "ok", "sheets": "missing: no package", "key_set": True, "writable": False}, load("customer"))
-    return one.select("ok", F.array_join("issues", ",").alias("issues"), "campaigns")
+    """Three checks of every nation's customers; each fails for some."""
+    c = load("customer").groupBy(F.col("c_nationkey").alias("project")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("least"), F.countDistinct("c_mktsegment").alias("segments"))
+    check = lambda place, name, value: F.struct(F.lit(place).alias("place"), F.lit(name).alias("name"), value.alias("value"))
+    checks = F.array(check(0, "even", (F.col("n") % 2 == 0).cast("string")), check(1, "solvent", F.when(F.col("least") < -900, F.concat(F.lit("missing "), (-F.col("least")).cast("string"))).otherwise("ok")), check(2, "segments", (F.col("segments") >= 5).cast("string")))
+    return campaign.health_of(c.select("project", F.explode(checks).alias("c")).select("project", "c.*")).select("project", "ok", F.array_join("issues", ",").alias("issues"))
 
 
-@query("SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS project, '### MISSION.md' || chr(10) || chr(10) || 'go' || chr(10) || chr(10) || '### tasks.json' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  \"a\": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}' || chr(10) || '```' || chr(10) || chr(10) || '### rules/b.md' || chr(10) || chr(10) || 'text' || chr(10) AS context FROM nation WHERE n_regionkey = 0")
+@query("""
+    WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations),
+    c AS (SELECT conv_id, count(*) AS n, '# Log' || chr(10) || string_agg('## Turn ' || turn || chr(10) || text || chr(10), '' ORDER BY turn DESC) AS full_text, '# Log' || chr(10) || string_agg('## Turn ' || turn || chr(10) || text || chr(10), '' ORDER BY turn DESC) FILTER (k <= 3) AS head,
+                 string_agg('### rules/b' || turn || CASE WHEN turn % 4 = 1 THEN '.digest.md' || chr(10) || chr(10) || left(text, 50) ELSE '.md' || chr(10) || chr(10) || text END || chr(10), chr(10) ORDER BY 'b' || turn || '.md') FILTER (role = 'assistant') AS books FROM t GROUP BY conv_id)
+    SELECT conv_id AS project, md5(array_to_string(list_filter([CASE WHEN conv_id % 3 <> 0 THEN '### MISSION.md' || chr(10) || chr(10) || 'mission ' || conv_id || chr(10) END,
+        CASE WHEN conv_id % 4 > 1 THEN '### tasks.json' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "turns": [' || chr(10) || '    ' || n || chr(10) || '  ]' || chr(10) || '}' || chr(10) || '```' || chr(10) END,
+        '### turn-log.md' || chr(10) || chr(10) || CASE WHEN n <= 3 THEN full_text ELSE regexp_replace(head, '\\s+$', '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '_(' || (n - 3) || ' earlier turn(s) omitted from preamble; full history in turn-log.md)_' || chr(10) END || chr(10), books], lambda x: x IS NOT NULL), chr(10))) AS digest FROM c""")
 def project_context(spark, load):
-    rules = load("nation").where("n_regionkey = 0").select(F.lit("b.md").alias("name"), F.lit("text").alias("text")).distinct()
-    return documents.project_context("go", '{"a":[1]}', None, rules).select(F.lit("0").alias("project"), "context")
+    """A project per conversation: mission and tasks where there are any (some tasks are no JSON), its turns as the log, answers as rule books, some with digests."""
+    t = load("conversations")
+    turn = F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"))
+    log = F.concat(F.lit("# Log\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t"))), asc=False), lambda x: x["t"]), ""))
+    c = t.groupBy(F.col("conv_id").alias("project")).agg(F.count(F.lit(1)).alias("n"), log.alias("turn_log"))
+    tasks = F.when(F.col("project") % 4 == 0, "{no json").when(F.col("project") % 4 > 1, F.format_string('{"turns":[%d]}', "n"))
+    projects = c.select("project", F.when(F.col("project") % 3 != 0, F.concat(F.lit("mission "), F.col("project").cast("string"))).alias("mission"), tasks.alias("tasks"), "turn_log")
+    books = t.where("role = 'assistant'").select(F.col("conv_id").alias("project"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("stem"), "turn", "text")
+    rules = books.select("project", F.concat("stem", F.lit(".md")).alias("name"), "text").unionByName(books.where("turn % 4 = 1").select("project", F.concat("stem", F.lit(".digest.md")).alias("name"), F.left("text", F.lit(50)).alias("text")))
+    return documents.project_contexts(projects, rules).select("project", F.md5("context").alias("digest"))

@@ -52,6 +52,11 @@ _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 _TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}')), lambda x: NOT list_contains({_quoted(T.STOP_WORDS)}, x))"
 
 
+def _moment(rows: DataFrame) -> list[str]:
+    """``now`` where the rows have it."""
+    return [c for c in rows.columns if c == "now"]
+
+
 def _k(events: DataFrame) -> Column:
     return F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
 
@@ -59,15 +64,21 @@ def _k(events: DataFrame) -> Column:
 def _metrics(events: DataFrame) -> DataFrame:
     k = _k(events)
     rows = events.where(F.col("event_type") == "purchase")
-    return rows.select(F.col("event_id").alias("seq"), "ts", F.col("value").alias("cost_usd"), (k % 2 == 0).alias("conclusion_changed"), (k * F.lit(0.001)).alias("maintenance_hours"))
+    return rows.select(*_moment(rows), F.col("event_id").alias("seq"), "ts", F.col("value").alias("cost_usd"), (k % 2 == 0).alias("conclusion_changed"), (k * F.lit(0.001)).alias("maintenance_hours"))
 
 
 def _baseline(events: DataFrame) -> DataFrame:
-    return events.select("ts", F.col("value").alias("cost_usd"))
+    return events.select(*_moment(events), "ts", F.col("value").alias("cost_usd"))
+
+
+def _with(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a table of one row."""
+    return rows.join(F.broadcast(one))
 
 
-def _now(events: DataFrame) -> Column:
-    return F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+def _timed(events: DataFrame) -> DataFrame:
+    """Events with ``now``, the latest time of all."""
+    return _with(events, events.agg(F.max("ts").alias("now")))
 
 
 _GATES = f"""
@@ -86,8 +97,8 @@ _GATES = f"""
 
 @query(_GATES + "SELECT * FROM cost")
 def gate_cost_ratio(spark, load):
-    e = load("events")
-    return gates.cost_ratio(_metrics(e), _baseline(e), _now(e))
+    e = _timed(load("events"))
+    return gates.cost_ratio(_metrics(e), _baseline(e), F.col("now"))
 
 
 @query(_GATES + "SELECT * FROM flags")
@@ -97,8 +108,7 @@ def gate_last_n(spark, load):
 
 @query(_GATES + "SELECT * FROM used")
 def gate_budget_sum(spark, load):
-    e = load("events")
-    return gates.hours_used(_metrics(e), _now(e))
+    return gates.hours_used(_metrics(_timed(load("events"))), F.col("now"))
 
 
 @query(
@@ -110,8 +120,8 @@ def gate_budget_sum(spark, load):
            coalesce(array_to_string(list_transform(list_filter(bad, lambda x: NOT ends_with(x, ':abort')), lambda x: string_split(x, ':')[1]), ','), '') AS warnings FROM g"""
 )
 def gate_verdict(spark, load):
-    e = load("events")
-    one = gates.verdict(_metrics(e), _baseline(e), _now(e))
+    e = _timed(load("events"))
+    one = gates.verdict(_metrics(e), _baseline(e), F.col("now"))
     return one.select("verdict", "exit_code", "wrapped_calls", "baseline_calls", "ratio", "flagged", "hours", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -171,13 +181,13 @@ def calls_search(spark, load):
 @query("SELECT event_id, event_type, value FROM events WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY event_id LIMIT 1")
 def call_lookup(spark, load):
     e = load("events")
-    return calls.lookup(e, e.agg(F.min("user_id")).first()[0], "user_id", "event_id").select("event_id", "event_type", "value")
+    return calls.lookup(_with(e, e.agg(F.min("user_id").alias("asked"))), F.col("asked"), "user_id", "event_id").select("event_id", "event_type", "value")
 
 
 @query("SELECT doc_id, quality, CASE WHEN doc_id = (SELECT min(doc_id) FROM labels) THEN NULL ELSE toxic = 1 END AS toxic FROM labels")
 def flag_update(spark, load):
     rows = load("labels").withColumn("toxic", F.col("toxic") == 1)
-    return sinks.with_flag(rows, F.lit(rows.agg(F.min("doc_id")).first()[0]), None, "doc_id", "toxic").select("doc_id", "quality", "toxic")
+    return sinks.with_flag(_with(rows, rows.agg(F.min("doc_id").alias("asked"))), F.col("asked"), None, "doc_id", "toxic").select("doc_id", "quality", "toxic")
 
 
 @query("SELECT CAST(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS INT) AS log, event_id AS seq, event_type, CASE WHEN event_type = 'click' THEN value END AS value FROM events WHERE event_type IN ('click', 'view')")
@@ -379,10 +389,10 @@ def chat_format(spark, load):
     return chat.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), " / ").alias("messages"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')")
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS place FROM documents WHERE lang IN ('en', 'fr')")
 def mix_union_shuffle(spark, load):
     d = load("documents").select("doc_id", "lang")
-    return distill.mix(d.where("lang = 'en'"), d.where("lang = 'fr'"), key="doc_id")
+    return distill.mixed(d.where("lang = 'en'"), d.where("lang = 'fr'"), key="doc_id")
 
 
 _LINES = "SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '')"
@@ -463,13 +473,12 @@ def current_turn(spark, load):
     SELECT o_orderkey, CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN '1 day ago' WHEN d < 30 THEN d || ' days ago' ELSE (d // 30) || ' mo ago' END AS age FROM a""")
 def age_bucket(spark, load):
     o = load("orders").withColumn("d", F.to_date("o_orderdate"))
-    return o.select("o_orderkey", V.age_bucket("d", F.lit(o.agg(F.max("d")).first()[0])).alias("age"))
+    return _with(o, o.agg(F.max("d").alias("today"))).select("o_orderkey", V.age_bucket("d", F.col("today")).alias("age"))
 
 
 @query("SELECT event_id, greatest(0.0::DOUBLE, 1.0::DOUBLE - (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400000000.0::DOUBLE / 30.0::DOUBLE) AS recency FROM events")
 def recency_decay(spark, load):
-    e = load("events")
-    return e.select("event_id", V.recency(V.age_days(_now(e), "ts")).alias("recency"))
+    return _timed(load("events")).select("event_id", V.recency(V.age_days(F.col("now"), "ts")).alias("recency"))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END AS excerpt, CAST(length(text) // 4 AS BIGINT) AS tokens, CAST(strlen(text) // 4 AS BIGINT) AS tokens_by_bytes, left(replace(text, chr(10), ' '), 200) AS line FROM (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)")

@@ -44,11 +44,16 @@ def comparison(pivot: DataFrame, signal: DataFrame, best: DataFrame, variants: l
     return "\n".join([*out, "", "## Decision", "", f"{one.decision}: {one.winner} with {one.delta:+.2f}"]) + "\n"
 
 
+def judge_details(judged: DataFrame) -> DataFrame:
+    """Every judged pair as the report lists it; to be written as JSON lines where there are more than a few."""
+    return judged.select("idx", F.substring("query", 1, 80).alias("query"), "candidate_slot", "raw_judge", "verdict", "outcome")
+
+
 def judge_report(summary: DataFrame, judged: DataFrame) -> dict:
-    """The JSON report of a judging: outcomes, n, win rate and every pair by index."""
+    """The JSON report of a judging of a few pairs: outcomes, n, win rate and every pair by index."""
     one = summary.first()
     counts = {"candidate_wins": one.candidate_wins, "baseline_wins": one.baseline_wins, "tie": one.ties, "unclear": one.unclear}
-    details = judged.select("idx", F.substring("query", 1, 80).alias("query"), "candidate_slot", "raw_judge", "verdict", "outcome").orderBy("idx").collect()
+    details = judge_details(judged).orderBy("idx").collect()
     return {"outcomes": {k: n for k, n in counts.items() if n}, "n": one.n, "win_rate_without_ties": one.win_rate, "details": [r.asDict() for r in details]}
 
 
@@ -66,6 +71,15 @@ def score_sheet(targets: DataFrame, entries: DataFrame, age, **options) -> str:
     return "\n".join(out)
 
 
+def score_sheet_rows(targets: DataFrame, entries: DataFrame, age, **options) -> DataFrame:
+    """(idx, section) for every target (idx, query): its part of the sheet; a target's matches are at most a top-k."""
+    found = rank(targets, entries, "idx", "query", "seq", "query", age, **options).join(entries.select("seq", one_line("query", 150).alias("match")), "seq")
+    box = F.format_string("- [ ] **match %d.%d** score %.2f: %s", F.col("idx") + 1, "rank", "score", "match")
+    listed = found.groupBy("idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", box.alias("box")))), lambda x: x["box"]), "\n").alias("boxes"))
+    head = F.concat(F.lit("## Query "), (F.col("idx") + 1).cast("string"), F.lit("\n\n> "), one_line("query", 200), F.lit("\n\n"))
+    return targets.join(listed, "idx", "left").select("idx", F.concat(head, F.coalesce("boxes", F.lit("_(no matches)_")), F.lit("\n")).alias("section"))
+
+
 def missing_files(expected: DataFrame, present: DataFrame, key: str = "name") -> DataFrame:
     """The expected names that are not there; a publishing step stops at any."""
     return expected.join(present.select(key), key, "left_anti")
