@@ -16,8 +16,10 @@ token and length, and just those that it does not settle are joined with all ear
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.llm.common import SHINGLE_WORDS, drop_table, materialize
@@ -33,6 +35,8 @@ BROADCAST_ROWS = 500_000
 #: Bytes of the result up to which it is broadcast to the documents, counted with ROW_BYTES for the fixed part of a row.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 80
+#: Characters of a plan's description while the rarity order is part of plans.
+PLAN_CHARS = 20_000
 #: How tables of hashes are written: a dictionary of them only costs time.
 HASHED = {"parquet.enable.dictionary": "false"}
 #: Parity of a set's tokens by their low six bits: no two sets differ in fewer tokens than in bits.
@@ -140,8 +144,25 @@ def _bit(token: str) -> Column:
     return F.xxhash64(token).bitwiseAND(63).cast("int")
 
 
+@contextmanager
+def _short_plans(spark: SparkSession) -> Iterator[None]:
+    """Keep the descriptions of plans short meanwhile: each would print the whole rarity order several times, and Spark keeps them on the driver."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PLAN_CHARS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(d, h, removed array<int>) of each document, named by id and text hash, that loses lines: their numbers, rising."""
+    with _short_plans(docs.sparkSession):
+        return _removals(docs, doc_id, text, percent)
+
+
+def _removals(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     lines = materialize(token_sets(docs, doc_id, text), HASHED)
     n = F.size("tokens")
     prefix = F.slice(ordered("tokens", rarity_order(lines)), F.lit(1), n - _least_common(n, percent) + 1)
