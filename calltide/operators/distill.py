@@ -13,6 +13,10 @@ from calltide.operators.intime import numbered
 from calltide.sources.readers import call_model
 
 
+#: Domains up to which they are broadcast.
+MOST_DOMAINS = 10_000
+
+
 def seed_rows(spark: SparkSession, seeds: Mapping[str, Sequence[str]], group: str = "template") -> DataFrame:
     """(group, seed_idx, seed) of a mapping of lists, in its order."""
     rows = [(g, k, s) for g, own in seeds.items() for k, s in enumerate(own)]
@@ -25,8 +29,9 @@ def seed_totals(seeds: DataFrame, group: str = "template") -> DataFrame:
 
 
 def expansion_tasks(seeds: DataFrame, domains: DataFrame) -> DataFrame:
-    """Every seed with every domain; domains are a short list and are broadcast."""
-    return seeds.crossJoin(F.broadcast(domains))
+    """Every seed with every domain; domains are a short list, which is counted before it is broadcast."""
+    short = domains.limit(MOST_DOMAINS + 1).count() <= MOST_DOMAINS
+    return seeds.crossJoin(F.broadcast(domains) if short else domains)
 
 
 def expand(tasks: DataFrame, model: Callable[[str], dict], prompt: Column, most: int, more_than: int = 20, less_than: int | None = None) -> DataFrame:

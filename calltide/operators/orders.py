@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.text import col, collapse_space, let, lines, ordinal, paragraphs, strip, strip_right
 
-#: The sections of an order, in their order.
+#: The sections of an order, in their order, the default texts and the shapes of headers and sign-offs.
 SECTIONS = ("Situation", "Intent", "Main Effort", "Supporting Effort", "Reserves & Fallback")
 UNREAD = "All clear — board fully readable."
 ACKNOWLEDGED = "— Acknowledged."
