@@ -75,3 +75,31 @@ def test_recall_on_the_table(spark):
     got, want = rows_of(ann.search(rows, F.col("vec_id") % 20 == 0).collect()), brute(ids, x, 20)
     assert got.keys() == want.keys()
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def exactly(spark, x):
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got, want = rows_of(ann.search(df, F.col("vec_id") % 20 == 0).collect()), brute(ids, x, 20)
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_no_neighbour_is_missed_whatever_the_vectors_have_in_common(spark):
+    rng = np.random.default_rng(3)
+    x = 1 + 0.05 * rng.normal(size=(2000, 64))  # nearly the same direction, told apart by a small rest
+    exactly(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    exactly(spark, rng.normal(size=(2000, 30)) * np.exp(1.5 * rng.normal(size=(2000, 1))))  # lengths of many sizes
+    exactly(spark, np.round(rng.normal(size=(2000, 2)), 6) * 1e150)
+
+
+def test_cells_that_are_not_probed_first_are_scanned_where_they_may_hold_a_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_VECTORS", 100)
+    monkeypatch.setattr(ann, "CELL_RECALL", 0.3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(25, 16))[rng.integers(0, 25, 2500)] + 0.3 * rng.normal(size=(2500, 16))
+    x[7::500] *= 20  # near to queries of other cells by their length
+    probes = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: probes.append(fit(*a)) or probes[-1])
+    exactly(spark, x)
+    assert probes[0].probes < len(probes[0].cells)
