@@ -2,8 +2,8 @@
 
 A line's tokens are its five-word shingles, as 64-bit hashes, written once as a table that all later steps read: sets are
 named (by 128 bits) and verified by them. Candidates are found by 32-bit hashes of them, which only costs a few more of
-them. Tokens are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters, so that the order
-fits in a literal of fixed size). A line of one to four words has one token, made of all its words, so that it goes where it
+them. Tokens are ordered by rarity (counts over the whole corpus, kept in ``BUCKETS`` hashed counters of 16 classes, so that the order
+fits in a small literal). A line of one to four words has one token, made of all its words, so that it goes where it
 repeats such a line. Two sets with Jaccard similarity of at least ``PERCENT`` share a token within their prefixes; candidates
 come from a join on prefix tokens with length and positional bounds, and are verified on whole token sets. A line with an
 earlier match goes. Lines without words have no tokens and stay.
@@ -66,16 +66,21 @@ def token_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def rarity_order(sets: DataFrame) -> Column:
-    """A literal array, by the high bits of a token: what turns them into the rank of their counter, rarest first, by xor."""
+    """A literal array of each counter's class in four bits, 16 counters a long: 0 for the rarer half, then for half of the rest each time.
+
+    Only the common counters need to be told apart, and the driver keeps every plan that holds the literal.
+    """
     counted = sets.select(F.explode("tokens").alias("s")).groupBy(_counter(F.col("s")).alias("bucket")).count().collect()
     counts = [0] * BUCKETS
     for row in counted:
         counts[row.bucket] = row["count"]
-    turns = [0] * BUCKETS
+    classes = [0] * max(16, BUCKETS)
     for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts[b], b))):
-        high = (bucket ^ rank ^ BUCKETS >> 1) << 65 - BUCKETS.bit_length()  # the top bit is the sign: rank 0 comes first
-        turns[bucket] = high - (1 << 64) if high >> 63 else high
-    return F.from_json(F.lit(json.dumps(turns)), "array<bigint>")
+        classes[bucket] = min(15, (BUCKETS // (BUCKETS - rank)).bit_length() - 1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    # the first counter in the highest bits; the top bit of a class is the sign: class 0 comes first
+    words = [signed(sum((c ^ 8) << 60 - 4 * k for k, c in enumerate(classes[w : w + 16]))) for w in range(0, len(classes), 16)]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
 
 
 def _counter(token: Column) -> Column:
@@ -83,9 +88,11 @@ def _counter(token: Column) -> Column:
     return F.shiftrightunsigned(token, 65 - BUCKETS.bit_length()) if BUCKETS > 1 else F.lit(0)
 
 
-def ordered(tokens: str, turns: Column) -> Column:
-    """The tokens, one to one as longs that sort by rarity, rarest first."""
-    return F.sort_array(F.transform(tokens, lambda s: s.bitwiseXOR(F.get(turns, _counter(s)))))
+def ordered(tokens: str, classes: Column) -> Column:
+    """The tokens as longs that sort by rarity, rarest first: the class of the counter, then the upper 60 bits."""
+    at = 69 - BUCKETS.bit_length()  # above: the number of the counter's long; the next four bits: its place there
+    class_ = lambda s: F.call_function("shiftleft", F.get(classes, F.shiftrightunsigned(s, at)), F.shiftrightunsigned(s, at - 6).bitwiseAND(60).cast("int"))
+    return F.sort_array(F.transform(tokens, lambda s: class_(s).bitwiseAND(-1 << 60).bitwiseOR(F.shiftrightunsigned(s, 4))))
 
 
 def _least_common(n: Column, percent: int) -> Column:

@@ -130,3 +130,25 @@ def test_short_unlike_lines_all_stay(spark):
     """400,000 lines of five words, none of them shared: 32-bit tokens would take some 18 away."""
     df = spark.range(400_000).selectExpr("id AS doc_id", "concat_ws(' ', concat('a', id), concat('b', id), concat('c', id), concat('d', id), concat('e', id)) AS text")
     assert line_dedup.removals(df).count() == 0
+
+
+def test_plans_print_a_small_rarity_order(spark, monkeypatch):
+    """The driver keeps the nodes of every plan as text."""
+    plans = []
+    materialize = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().treeString()) or materialize(df, *a))
+    docs = corpus(17, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == brute(docs)
+    largest = max((line for plan in plans for line in plan.split("\n")), key=len)
+    assert 10_000 < len(largest) < 120_000
+
+
+def test_common_tokens_come_last(spark):
+    df = spark.createDataFrame([(k, f"the same five words follow n{k} m{k} l{k} k{k} j{k}") for k in range(200)], "doc_id long, text string")
+    lines = line_dedup.token_sets(df, "doc_id", "text").cache()
+    order = line_dedup.rarity_order(lines)
+    common = lines.select(line_dedup.F.explode("tokens").alias("t")).groupBy("t").count().where("count = 200").first().t
+    firsts = lines.select(line_dedup.ordered("tokens", order).alias("o")).collect()
+    assert len({r.o[-1] for r in firsts}) == 1 and all(r.o[-1] & (1 << 60) - 1 == (common & (1 << 64) - 1) >> 4 and sorted(r.o) == r.o for r in firsts)
+    lines.unpersist()
