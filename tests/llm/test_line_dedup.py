@@ -152,3 +152,41 @@ def test_common_tokens_come_last(spark):
     firsts = lines.select(line_dedup.ordered("tokens", order).alias("o")).collect()
     assert len({r.o[-1] for r in firsts}) == 1 and all(r.o[-1] & (1 << 60) - 1 == (common & (1 << 64) - 1) >> 4 and sorted(r.o) == r.o for r in firsts)
     lines.unpersist()
+
+
+def test_prefixes_follow_the_rarity_order(spark, monkeypatch):
+    """Taken without sorting where enough tokens are not common, a prefix is that of the whole order."""
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 10)
+    shared = " ".join(f"s{k}" for k in range(40))
+    docs = [(k, f"{shared}\n{' '.join(f'o{k}x{j}' for j in range(k % 30))} {shared if k % 2 else 'end'}") for k in range(300)]
+    lines = line_dedup.token_sets(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").cache()
+    F = line_dedup.F
+    classes, common = line_dedup._rarity(lines)
+    length = F.greatest(F.floor(F.size("tokens") / 5), F.lit(1)).cast("int")
+    rows = lines.select(line_dedup.ordered("tokens", classes).alias("all"), line_dedup._prefix(classes, common, length).alias("prefix"), length.alias("n")).collect()
+    assert 0 < len(common) <= 32
+    for r in rows:
+        assert [(e & (1 << 64) - 1) >> 4 for e in r.prefix] == [e & (1 << 60) - 1 for e in r["all"][: r.n]]
+    lines.unpersist()
+
+
+def test_bitmaps_grow_with_their_keys(spark):
+    """At 64 bits a key, few others pass: of a fixed 2**24 bits a ninth would here."""
+    F = line_dedup.F
+    keys = spark.range(2_000_000).select(F.hash("id").alias("key"))
+    bitmap, bits = line_dedup._bitmap(keys, 2_000_000)
+    ids = spark.range(1_990_000, 2_200_000).withColumn("key", F.hash("id"))
+    found = line_dedup._marked(ids, F.col("key"), bitmap, bits).groupBy((F.col("id") < 2_000_000).alias("own")).agg(F.avg(F.col("marked").cast("int")).alias("share")).collect()
+    share = {r.own: r.share for r in found}
+    assert share[True] == 1 and share[False] < 0.03
+
+
+def test_rows_held_twice(spark, monkeypatch):
+    """Rows of equal id and text, null ids too, whose lines other documents repeat; by broadcasts and without."""
+    twice = [(None, "one two three four five\none two three four five"), (3, "six seven eight nine ten"), (8, "alone and not to be found elsewhere")]
+    docs = [*twice, *twice, (7, "one two three four five\nshort"), (9, "six seven eight nine ten\nSHORT")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for rows in (line_dedup.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+        got = sorted((r.doc_id or 0, list(r.removed)) for r in line_dedup.judged_lines(df).collect())
+        assert got == [(0, [1]), (0, [1]), (3, []), (3, []), (7, [0]), (8, []), (8, []), (9, [0, 1])]
