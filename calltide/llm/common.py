@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,9 @@ BYTES_PER_BATCH = 4 << 20
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 _OWN_DIRS: dict[str, str] = {}
+#: Tables of this Python worker that last from task to task, and the keys of those that its present task has asked for.
+_HELD: dict[str, Any] = {}
+_USED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +46,43 @@ def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: int = B
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """A table that this Python worker keeps from task to task, until a ``lean`` task ends that did not ask for it."""
+    _USED.add(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system: a worker outlives its tasks and counts to its executor while others run."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc has it
+        trim(0)
+
+
+def _begin_task() -> None:
+    _USED.clear()
+
+
+def _end_task() -> None:
+    for key in _HELD.keys() - _USED:
+        del _HELD[key]
+    give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow at the end of whose tasks the worker keeps neither freed memory nor ``held`` tables of other operators."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin_task()
+        yield from run(batches)
+        _end_task()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

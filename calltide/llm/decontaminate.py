@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import bound_batches, drop_table, materialize
+from calltide.llm.common import bound_batches, drop_table, lean, materialize
 from calltide.llm.textvec import U64, ascii_lower_words, mix, slices, span_hashes, utf8
 
 WINDOW = 13
@@ -204,7 +204,7 @@ def _count(docs: DataFrame, windows: Windows) -> dict[int, tuple[np.ndarray, np.
                 some = at[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n), pa.int32()), pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], ["size", "place", "n"])
 
-    got = docs.mapInArrow(run, "size int, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.mapInArrow(lean(run), "size int, place long, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toArrow()
     sizes, places, times = (got.column(c).to_numpy() for c in ("size", "place", "n"))
     out = {}
     for n, keys in wanted.items():
@@ -257,7 +257,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
             made = {"__n_words": pa.array(n_words, pa.int64()), "__ranges": pa.array(ranges, _RANGES), "__items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, keep: tuple[str, ...], window: int) -> DataFrame:

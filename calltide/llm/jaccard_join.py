@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import SHINGLE_WORDS, SIMILARITY, bound_batches, drop_table, materialize
+from calltide.llm.common import SHINGLE_WORDS, SIMILARITY, bound_batches, drop_table, lean, materialize
 from calltide.llm.components import components
 from calltide.llm.textvec import U64, ascii_lower_words, mix, slices, span_hashes, utf8
 
@@ -141,7 +141,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 ["row", "doc_id", "k1", "k2", "n", "signature"],
             )
 
-    return docs.mapInArrow(run, "row long, doc_id long, k1 long, k2 long, n int, signature binary")
+    return docs.mapInArrow(lean(run), "row long, doc_id long, k1 long, k2 long, n int, signature binary")
 
 
 def _children(level: DataFrame, threshold: float, first: bool) -> DataFrame:
@@ -160,7 +160,7 @@ def _children(level: DataFrame, threshold: float, first: bool) -> DataFrame:
                 row, key = paths(signatures, row, key, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(sizes[row]), pa.array(key.view(np.int64))], ["class", "n", "key"])
 
-    return level.mapInArrow(run, "class long, n int, key long")
+    return level.mapInArrow(lean(run), "class long, n int, key long")
 
 
 def _close_stars(sketches: np.ndarray, sizes: np.ndarray, threshold: float, cross: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def _linked(texts: DataFrame, threshold: float) -> DataFrame:
 
     small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     wanted = texts.select("row", "text").join(small, "row").select("class", "group", "copies", "blocks", "text")
-    shingled = wanted.mapInArrow(make, "class long, group long, copies long, blocks int, shingles binary")
+    shingled = wanted.mapInArrow(lean(make), "class long, group long, copies long, blocks int, shingles binary")
     members = shingled.select("class", "group", "copies", "shingles", F.explode(_block_pairs(F.col("blocks"))).alias("p")).select("class", "group", "copies", "shingles", "p.*")
     verified = materialize(_verify(members, threshold))
     roots = components(verified.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import bound_batches, drop_table, materialize, partitions
+from calltide.llm.common import bound_batches, drop_table, lean, materialize, partitions
 from calltide.llm.textvec import slices, text_column
 from calltide.llm.wordbpe import word_bpe
 
@@ -59,7 +59,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacit
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, {PIECE_FIELDS}" + (", ids array<int>" if with_ids else ""))
+    return chosen.mapInArrow(lean(run), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, {PIECE_FIELDS}" + (", ids array<int>" if with_ids else ""))
 
 
 # One shard, in arrays. A solution is an array that gives each piece's bin.

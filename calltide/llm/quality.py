@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.common import bound_batches
+from calltide.llm.common import bound_batches, lean
 from calltide.llm.textvec import U64, codepoints, mix, slices, span_hashes, text_column
 
 #: Labelled documents that training takes at most, chosen by a hash of their id: some 8 MB of features on the driver.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             x = features(text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.string()), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "label", "x"])
 
-    got = rows.mapInArrow(run, "key string, label int, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key", "label").collect()
+    got = rows.mapInArrow(lean(run), "key string, label int, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).orderBy("key", "label").collect()
     x = np.array([np.frombuffer(r.x) for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r.label for r in got], int))
 
@@ -182,4 +182,4 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[
 
     chosen = docs.select(*keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{fields}, score double, predicted int")
+    return chosen.mapInArrow(lean(run), f"{fields}, score double, predicted int")

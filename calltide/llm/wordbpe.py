@@ -15,6 +15,7 @@ import unicodedata
 
 import numpy as np
 
+from calltide.llm.common import give_back, held
 from calltide.llm.textvec import SLICE_CHARS, U64, codepoints, mix, slices, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -110,9 +111,9 @@ class WordBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.known_start, self.known_end = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.known_ids, self.n_words, self.n_ids = np.zeros(1 << 18, np.uint32), 0, 0
+        self.known = np.zeros(0, U64)  # sorted hashes of words, with the places of their ids
+        self.known_start, self.known_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, counts = [], []
@@ -178,26 +179,22 @@ class WordBPE:
         return low, starts, ends, np.searchsorted(starts, offsets)
 
     def _places(self, hashes: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places among the known words of sorted hashes; words not met before are merged."""
         if self.n_ids > self.cache_ids:
             self._forget()
-        get = self.place.get
-        keys = hashes.tolist()
-        place = np.array([get(h, -1) for h in keys], np.int64)
-        new = np.flatnonzero(place < 0)
+        place = np.searchsorted(self.known, hashes)
+        met = place < len(self.known)
+        met[met] = self.known[place[met]] == hashes[met]
+        new = np.flatnonzero(~met)
         if len(new):
             ids, offsets = self._merge(*self._bytes(low, starts[new], ends[new]))
-            n = len(new)
-            while self.n_words + n > len(self.known_start):
-                self.known_start, self.known_end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.known_start, self.known_end))
             while self.n_ids + len(ids) > len(self.known_ids):
                 self.known_ids = np.concatenate([self.known_ids, np.zeros_like(self.known_ids)])
             self.known_ids[self.n_ids : self.n_ids + len(ids)] = ids
-            own = np.arange(self.n_words, self.n_words + n)
-            self.known_start[own], self.known_end[own] = self.n_ids + offsets[:-1], self.n_ids + offsets[1:]
-            self.place.update(zip((keys[k] for k in new.tolist()), own.tolist(), strict=True))
-            self.n_words += n
+            self.known_start, self.known_end = np.insert(self.known_start, place[new], self.n_ids + offsets[:-1]), np.insert(self.known_end, place[new], self.n_ids + offsets[1:])
+            self.known = np.insert(self.known, place[new], hashes[new])
             self.n_ids += len(ids)
-            place[new] = own
+            place = np.searchsorted(self.known, hashes)
         return place
 
     @staticmethod
@@ -246,11 +243,12 @@ class WordBPE:
         return tokens[sort], np.searchsorted(words[sort], np.arange(n + 1))
 
 
-_LOADED: dict[str, WordBPE] = {}
-
-
 def word_bpe(path: str) -> WordBPE:
     """The tokenizer of this Python worker; its cache of words lasts from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBPE(path, added_tokens=True)
-    return _LOADED[path]
+
+    def load() -> WordBPE:
+        loaded = WordBPE(path, added_tokens=True)
+        give_back()  # what the file was read into
+        return loaded
+
+    return held(f"word_bpe {path}", load)

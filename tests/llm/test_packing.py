@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,8 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from calltide.llm import packing
-from calltide.llm.wordbpe import WordBPE
+from calltide.llm import common, packing
+from calltide.llm.wordbpe import WordBPE, word_bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 BPE = WordBPE(PATH)
@@ -105,3 +108,55 @@ def test_ids_of_any_type(spark):
     got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"))
     assert got.schema["doc_id"].dataType.simpleString() == "string"
     assert {r.doc_id for r in got.collect()} == {"a", None, "b"}
+
+
+def test_known_words_are_kept_in_few_bytes():
+    bpe, rng = WordBPE(PATH), random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    made = [bpe.ids(texts)[0].tobytes() for _ in range(2)]
+    assert made[0] == made[1]
+    made.clear()
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 60 * len(set(words))
+
+
+def test_a_worker_keeps_tables_only_between_tasks_that_use_them():
+    seen = []
+
+    def uses(batches):
+        seen.append(word_bpe(PATH))
+        yield from batches
+
+    def other(batches):
+        yield from batches
+
+    common._HELD.clear()
+    for run, kept in ((uses, 1), (uses, 1), (other, 0), (uses, 1)):
+        assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+        assert len(common._HELD) == kept
+    assert seen[0] is seen[1] is not seen[2]
+
+
+def test_freed_memory_goes_back():
+    code = """
+import re
+from calltide.llm.common import lean
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    held = [bytes(1000) for _ in range(60_000)]
+    pin.append(bytes(1000))
+    yield mb()
+
+pin = []
+before = mb()
+print(before, *lean(run)(iter([])), mb())
+"""
+    before, most, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert most > before + 50 and after < before + 10
