@@ -10,8 +10,8 @@ come from a join on prefix tokens with length and positional bounds, and are ver
 earlier match goes. Lines without words have no tokens and stay.
 
 Equal sets are one class, their first line, from the start: the lines that repeat it go, and only it is compared. Within a class of near copies the pairs would grow with
-the square of its size; only whether an earlier match exists matters, so lines first meet the earliest line of their
-token and length, and just those that it does not settle are joined with all earlier lines.
+the square of its size; only whether an earlier match exists matters, so where more than ``CROWD`` classes share a token, lines
+first meet the earliest line of their token and length, and just those that it does not settle are joined with all earlier lines.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WORD = "[^" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isdigit()
 LEAST_CLASS, DEVIATIONS = 5, 3
 #: Bits of a bitmap for each of its keys, and at least and at most (32 MB); a fuller one only lets more rows pass to the exact joins.
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 18, 1 << 28
+#: Classes that share a token beyond which they meet their earliest line first: up to that, all of them meet at once.
+CROWD = 16
 #: Lines (positions of some 40 bytes) up to which a join broadcasts them: some 60 MB with the table's overhead.
 BROADCAST_ROWS = 500_000
 #: Bytes of the result up to which it is broadcast to the documents, counted with ROW_BYTES for the fixed part of a row.
@@ -119,9 +121,11 @@ def _prefix(classes: Column, common: list[int], length: Column) -> Column:
     first = lambda tokens: F.slice(tokens, F.lit(1), length)
     if not common:
         return first("tokens")
-    rare = F.filter("tokens", lambda s: ~_counter(s).isin(common))
+    rare = lambda tokens: F.filter(tokens, lambda s: ~_counter(s).isin(common))
     late = F.transform(first(ordered("tokens", classes)), lambda e: F.shiftleft(e, 4))
-    return _let(rare, lambda tokens: F.when(F.size(tokens) >= length, first(tokens)).otherwise(late))
+    take = lambda tokens, otherwise: _let(rare(tokens), lambda found: F.when(F.size(found) >= length, first(found)).otherwise(otherwise))
+    # mostly the first few tokens hold enough that are not common, and the others need not be looked at
+    return take(F.slice("tokens", F.lit(1), length * 2 + 4), take(F.col("tokens"), late))
 
 
 def _least_common(n: Column, percent: int) -> Column:
@@ -189,6 +193,8 @@ def _at_some(rows: DataFrame, on: str, keys: DataFrame, used: list[DataFrame]) -
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The classes x of the pairs (x, y) whose sets (at, tokens) reach the similarity, written."""
     used = [pairs := materialize(pairs)]
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("at"))
     wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct())
     used.append(wanted)
     sets = _at_some(sets, "at", wanted, used).dropDuplicates(["at"])
@@ -267,25 +273,28 @@ def _removals(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFram
     # tokens of one class only, most of them, go before anything is shuffled
     token = _token(F.col("place_token"))
     often = classes.select(F.explode("prefix").alias("place_token")).select(token.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    used.append(often := materialize(often.select("key")))
+    used.append(often := materialize(often))
     seen, bits = _bitmap(often, often.count())
     used.append(seen := materialize(seen))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     entries = classes.select("at", "n", "parity", F.posexplode("prefix").alias("place", "place_token")).withColumn("token", token).drop("place_token")
     entries = _marked(entries, F.col("token"), seen, bits).where("marked")
     entries = materialize(entries.select("token", band.alias("band"), F.struct("at.*", "n", "parity", "place").alias("x")), HASHED)
+    crowds = materialize(often.where(F.col("n") > CROWD).select(F.col("key").alias("token")))
     for table in used:
         drop_table(table)
+    used = [crowds]
+    crowded = _at_some(entries, "token", crowds, used)
     # the earliest line of each token and length, by aggregation and join: a token that many lines share is split
-    leaders = entries.groupBy("token", "band").agg(F.min("x").alias("leader"))
+    leaders = crowded.groupBy("token", "band").agg(F.min("x").alias("leader"))
 
     bounds = lambda x, y: _before(y, x) & _could_match(F.col(f"{x}.n"), F.col(f"{x}.place"), F.col(f"{y}.n"), F.col(f"{y}.place"), percent) & _few_differ(x, y, percent)
-    led = entries.join(leaders, ["token", "band"]).where(bounds("x", "leader"))
+    led = crowded.join(leaders, ["token", "band"]).where(bounds("x", "leader"))
     settled = _verified(led.select(_at("x").alias("x"), _at("leader").alias("y")).distinct(), sets, percent)
     open_ = entries.select("token", "x", _at("x").alias("at")).join(settled, "at", "left_anti")
     met = open_.join(entries.select("token", F.col("x").alias("y")), "token").where(bounds("x", "y"))
     later = _verified(met.select(_at("x").alias("x"), _at("y").alias("y")).distinct(), sets, percent)
-    for table in (lines, entries):
+    for table in (lines, entries, *used):
         drop_table(table)
     # lines that repeat an earlier one go, and first lines of classes with a match
     gone = repeats.unionByName(settled).unionByName(later).select("at.*")

@@ -190,3 +190,19 @@ def test_rows_held_twice(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
         got = sorted((r.doc_id or 0, list(r.removed)) for r in line_dedup.judged_lines(df).collect())
         assert got == [(0, [1]), (0, [1]), (3, []), (3, []), (7, [0]), (8, []), (8, []), (9, [0, 1])]
+
+
+def test_earliest_lines_come_first_only_in_crowds(spark, monkeypatch):
+    """Lines meet the earliest of their token and length first only where many share it; the result is the same for every limit."""
+    met = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    docs = [(i, " ".join(f"{'v' if k == i % 3 * 30 else 't'}{i // 3}x{k}" for k in range(60))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert any(want.values())
+    for crowd, early in ((line_dedup.CROWD, False), (1, True)):
+        met.clear()
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        assert {r.doc_id: list(r.removed) for r in line_dedup.judged_lines(df).collect()} == want
+        assert len(met) == 2 and (met[0] > 0) == early
